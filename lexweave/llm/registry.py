@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import packing, quality, secrets
+from lexweave.llm import decontaminate, language, linededup, packing, quality, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.query,
+    "op2_simhash": simhash.query,
+    "op3_language": language.query,
+    "op5_toxicity": toxicity.query,
     "op6_quality": quality.query,
+    "op7_linededup": linededup.query,
+    "op8_decontaminate": decontaminate.query,
     "op10_packing": packing.query,
 }
 ORACLE_SQL: dict[str, str] = {}
