@@ -1,8 +1,8 @@
 """Toxicity by a chain of linear classifiers.
 
 The chain's categories are predicted one after the other: ``junk`` (labelled of low quality), ``toxic``,
-``toxic_junk`` (both). Each is a logistic model over words and the probabilities of the categories before
-it. The models of later categories are trained with out-of-fold probabilities of the earlier ones, so they
+``toxic_junk`` (both). Each is a logistic model over words, beginnings of words, and the
+probabilities of the categories before it. The models of later categories are trained with out-of-fold probabilities of the earlier ones, so they
 see them as uncertain as they will be; then every model is fitted again on all rows for use.
 
 Only the fit is on a sample: ``MOST_LABELS`` labelled documents at most, those whose ids have the smallest
@@ -26,14 +26,17 @@ from lexweave.session import table
 
 CATEGORIES = ("junk", "toxic", "toxic_junk")
 REJECTED = "toxic"
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 MOST_LABELS, WORDS, MIN_COUNT, FOLDS = 20_000, 400, 5, 4
 WORD = re.compile(r"[^\W\d_]+")
+BEGINNINGS = (4, 5, 6)
 RIDGE, ROUNDS = 1.0, 150
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
+    """The words of a text in lower case, and their beginnings, marked, which stand for inflected and compound forms."""
+    words = set(WORD.findall((text or "").lower()))
+    return words.union(*({w[:k] + "-" for w in words if len(w) > k} for k in BEGINNINGS))
 
 
 @dataclass
