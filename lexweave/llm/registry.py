@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import decontaminate, language, linededup, packing, quality, secrets, simhash, toxicity
+from lexweave.llm import decontaminate, htmltext, language, linededup, packing, quality, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": quality.query,
     "op7_linededup": linededup.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_htmltext": htmltext.query,
     "op10_packing": packing.query,
 }
 ORACLE_SQL: dict[str, str] = {}
