@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "near_duplicates"
+from lexweave.operators import neardup, ngrams, values
+
+MODULES = (values, ngrams, neardup)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
+FLAGSHIP = "value_counts"

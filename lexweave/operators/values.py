@@ -1,0 +1,43 @@
+"""Value mentions: e-mail addresses, URLs and phone-like numbers in white-space tokens."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexweave.functions.text import tokens
+from lexweave.session import table
+
+EMAIL = r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.(com|gov|edu|org|mil|net)"
+URL = r"(?i)(https?:|www\.|[a-z0-9-]+\.(com|gov|edu|org|mil|net)(/|$))"
+PHONE = r"^\(?\+?[0-9]{3}[-.)][0-9]{3}[-.][0-9]{4}$|^[0-9]{3}[-.][0-9]{4}$"
+TYPES = ("email", "phone", "url")
+
+
+def value_mentions(docs: DataFrame) -> DataFrame:
+    """``doc_id, lang, tok_no, token, value_type``: one row for each token that is a value. An e-mail is no URL."""
+    tok = docs.select("doc_id", "lang", F.posexplode_outer(tokens(F.col("text"))).alias("tok_no", "token"))
+    kind = F.when(F.col("token").rlike(EMAIL), "email").when(F.col("token").rlike(URL), "url").when(F.col("token").rlike(PHONE), "phone")
+    return tok.withColumn("value_type", kind).where(F.col("value_type").isNotNull())
+
+
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values by language and type, zeros included."""
+    docs = table(spark, sf_dir, "documents")
+    kinds = spark.createDataFrame([(t,) for t in TYPES], "value_type string")
+    grid = docs.select("lang").distinct().join(F.broadcast(kinds))
+    counts = value_mentions(docs).groupBy("lang", "value_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return grid.join(counts, ["lang", "value_type"], "left").select("lang", "value_type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+QUERIES = {"value_counts": value_counts}
+ORACLE_SQL = {
+    "value_counts": r"""
+        WITH tok AS (SELECT doc_id, lang, unnest(string_split_regex(text, '[ \t\n\r\f]+')) AS token FROM documents),
+        v AS (SELECT doc_id, lang, CASE WHEN regexp_matches(token, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.(com|gov|edu|org|mil|net)') THEN 'email'
+            WHEN regexp_matches(token, '(?i)(https?:|www\.|[a-z0-9-]+\.(com|gov|edu|org|mil|net)(/|$))') THEN 'url'
+            WHEN regexp_matches(token, '^\(?\+?[0-9]{3}[-.)][0-9]{3}[-.][0-9]{4}$|^[0-9]{3}[-.][0-9]{4}$') THEN 'phone' END AS value_type FROM tok WHERE token <> ''),
+        g AS (SELECT DISTINCT lang, value_type FROM documents, (VALUES ('email'), ('phone'), ('url')) t(value_type))
+        SELECT g.lang, g.value_type, count(v.doc_id) AS n, count(DISTINCT v.doc_id) AS n_docs
+        FROM g LEFT JOIN v ON g.lang = v.lang AND g.value_type = v.value_type GROUP BY 1, 2""",
+}
