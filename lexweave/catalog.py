@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexweave.operators import neardup, ngrams, values
+from lexweave.operators import facts, kb, neardup, ngrams, values
 
-MODULES = (values, ngrams, neardup)
+MODULES = (values, ngrams, neardup, kb, facts)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 FLAGSHIP = "value_counts"
