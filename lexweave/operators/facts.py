@@ -43,7 +43,7 @@ def near_mark(mark: Column, by: str, order: str, before: int, after: int) -> Col
 def precision_recall(system: DataFrame, gold: DataFrame, key: list[str], kind: str) -> DataFrame:
     """Correct, spurious and missing rows by kind, with precision, recall and F; null where a denominator is 0."""
     s, g = (x.select(*key, kind).distinct().withColumn(m, F.lit(True)) for x, m in ((system, "_s"), (gold, "_g")))
-    both = s.join(g, [*key, kind], "full").groupBy(kind).agg(F.count_if("_s and _g").alias("correct"), F.count_if("_s and _g is null").alias("spurious"), F.count_if("_g and _s is null").alias("missing"))
+    both = s.join(g, [*key, kind], "full").groupBy(kind).agg(F.count_if(F.expr("_s and _g")).alias("correct"), F.count_if(F.expr("_s and _g is null")).alias("spurious"), F.count_if(F.expr("_g and _s is null")).alias("missing"))
     c, p, r = F.col("correct"), F.col("correct") + F.col("spurious"), F.col("correct") + F.col("missing")
     return both.withColumns({"precision": F.round(c / F.nullif(p, F.lit(0)), 6), "recall": F.round(c / F.nullif(r, F.lit(0)), 6), "f": F.round(2 * c / F.nullif(p + r, F.lit(0)), 6)})
 
