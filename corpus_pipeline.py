@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import decontaminate, linededup, packing, simhash, toxicity
+from lexweave.llm.columns import sheltered
 from lexweave.session import ensure_checkpoint_dir, table
 
 #: SQL cannot express the stages (a trained chain, rolling hashes, tiling); tests hold them against brute force.
@@ -21,30 +22,34 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain, fitted on the labels of ``docs``, does not reject."""
+    docs, back = sheltered(docs)
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, chain).where(~toxicity.rejected()).select(*docs.columns)
+    return toxicity.score(docs, chain).where(~toxicity.rejected()).select(*back)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated chunks of lines; ``n_chars`` follows the text."""
+    docs, back = sheltered(docs)
     out = linededup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("_lost") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of the smallest id. Of rows that repeat an id one stays."""
+    docs, back = sheltered(docs)
     first = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     named = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    return named.unionByName(docs.where("doc_id is null")).select(*back)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item has leaked into."""
+    docs, back = sheltered(docs)
     out = decontaminate.coverages(docs, table(spark, sf_dir, "benchmark"))
-    return out.where(F.col("_coverage") < decontaminate.THRESHOLD).select(*docs.columns)
+    return out.where(F.col("_coverage") < decontaminate.THRESHOLD).select(*back)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

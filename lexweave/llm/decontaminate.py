@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.llm.columns import replaced
 from lexweave.session import table
 
 MIN_TILE, THRESHOLD = 5, 0.6
@@ -130,12 +131,13 @@ def coverages(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 
     The coverage is 0 and the item null if no item can reach the threshold. Null and empty texts, and
     items of fewer than ``MIN_TILE`` words, match nothing. Items with a null id are ignored. An empty
-    benchmark covers nothing; an empty table gives an empty result.
+    benchmark covers nothing; an empty table gives an empty result. Columns of ``docs`` that are named
+    like a result are replaced by it.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     n = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-n // BLOCK_CHARS))
-    out = docs.withColumn("text", F.col("text").cast("string")).withColumns({"_item": F.lit(None).cast("long"), "_coverage": F.lit(0.0)})
+    out = replaced(docs, ("_item", "_coverage")).withColumn("text", F.col("text").cast("string")).withColumns({"_item": F.lit(None).cast("long"), "_coverage": F.lit(0.0)})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     for k in range(blocks):
         own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).distinct().collect()]

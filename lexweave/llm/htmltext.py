@@ -34,7 +34,9 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPES = frozenset("ul ol dl table select article section div body main".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog button select option fieldset label head search".split())
 GOOD_TAGS = frozenset(("article", "main"))
-BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|copyright|disqus|footer|gdpr|header|legal|links|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pager|pagination|popup|promo|promotion|promoted|recommended|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|toolbar|topbar|widget|widgets)(?:$|[\s_\d-])", re.IGNORECASE)
+BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|copyright|disqus|footer|gdpr|legal|links|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pager|pagination|popup|promo|promotion|promoted|recommended|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|toolbar|topbar|widget|widgets)(?:$|[\s_\d-])", re.IGNORECASE)
+#: Bad but inside an article, where they hold its headline.
+HEADER_NAMES = re.compile(r"(?:^|[\s_-])header(?:$|[\s_\d-])", re.IGNORECASE)
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Weights of the classifier, in units of the price of one step between neighbours.
 W_BAD, W_GOOD, W_PAGE_HEADER, W_LINKS, W_LENGTH, BIAS = -60.0, 6.0, -60.0, -6.0, 0.8, -1.5
@@ -79,11 +81,19 @@ def _is_bad(tag: str, attrs: str) -> bool:
         if name == "role":
             if value.lower() in BAD_ROLES:
                 return True
-        elif value and BAD_NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
+        elif value and BAD_NAMES.search(_hyphened(value)):
             return True
     return False
 
 
+def _hyphened(name: str) -> str:
+    return re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name)
+
+
+def _is_header(tag: str, attrs: str) -> bool:
+    return tag == "header" or any(name.lower() in ("class", "id") and HEADER_NAMES.search(_hyphened(a or b or c)) for name, a, b, c in NAMED.findall(attrs or ""))
+
+
 def blocks_of(page: str) -> list[Block]:
     """The non-empty text blocks of a page in order."""
     out: list[Block] = []
@@ -159,7 +169,7 @@ def blocks_of(page: str) -> list[Block]:
         count += 1
         top = stack[-1]
         good = top.good or tag in GOOD_TAGS
-        stack.append(_Open(tag, count, top.bad or _is_bad(tag, attrs), good, top.header or (tag == "header" and not good), top.link or tag == "a"))
+        stack.append(_Open(tag, count, top.bad or _is_bad(tag, attrs), good, top.header or (not good and tag not in ("html", "body") and _is_header(tag, attrs)), top.link or tag == "a"))
     say(page[at:])
     for b in out:
         b.text = " ".join("".join(b.parts).split())

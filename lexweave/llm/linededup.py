@@ -20,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.llm.columns import replaced
 from lexweave.session import durable, table
 
 #: A chunk ends where the rolling hash is 0 modulo DIVISOR, after MIN_LINES at least and MAX_LINES at most.
 DIVISOR, MIN_LINES, MAX_LINES = 2, 2, 64
+OWN = ("_lines", "_lost", "_gone", "_id")
 MULTIPLIER, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -120,8 +122,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Null texts stay null. A row with a null id loses its own repeats only, and nothing is removed because
     of it. Rows that repeat an id count as one document: they do not remove each other's chunks. A document
-    of removed chunks only keeps an empty text. An empty table gives an empty result.
+    of removed chunks only keeps an empty text. An empty table gives an empty result. Columns of ``docs``
+    that are named like a result are replaced by it.
     """
+    docs = replaced(docs, OWN)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     hashed = durable(slim.mapInArrow(_hash_batches, "doc_id long, h long"))
     shared = hashed.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("h")

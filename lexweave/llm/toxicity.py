@@ -1,9 +1,9 @@
 """Toxicity by a chain of linear classifiers.
 
 The chain's categories are predicted one after the other: ``junk`` (labelled of low quality), ``toxic``,
-``toxic_junk`` (both). Each is a logistic model over words, beginnings of words, and the
-probabilities of the categories before it. The models of later categories are trained with out-of-fold probabilities of the earlier ones, so they
-see them as uncertain as they will be; then every model is fitted again on all rows for use.
+``toxic_junk`` (both). Each is a logistic model over words, beginnings of words, and the probabilities of
+the categories before it. The models of later categories are trained with out-of-fold probabilities of the
+earlier ones, so they see them as uncertain as they will be; every model is then fitted on all rows for use.
 
 Only the fit is on a sample: ``MOST_LABELS`` labelled documents at most, those whose ids have the smallest
 hashes, and ``WORDS`` words at most for each category. Both are bounds on what reaches the driver and the
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.llm.columns import replaced
 from lexweave.session import table
 
 CATEGORIES = ("junk", "toxic", "toxic_junk")
@@ -161,9 +162,10 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """All rows and columns of ``docs`` (with ``text``) plus ``_p_junk, _p_toxic, _p_toxic_junk``.
 
     Null and empty texts are scored as texts without words. Repeated rows get equal scores. Without a
-    fitted chain all scores are 0. An empty table gives an empty result.
+    fitted chain all scores are 0. An empty table gives an empty result. Columns of ``docs`` that are named
+    like a score are replaced by it.
     """
-    out = docs.withColumn("text", F.col("text").cast("string"))
+    out = replaced(docs, (f"_p_{c}" for c in CATEGORIES)).withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     return out.mapInArrow(partial(_score_batches, chain=chain), schema + "".join(f", _p_{c} double" for c in CATEGORIES))
 
