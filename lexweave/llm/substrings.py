@@ -14,7 +14,7 @@ run of windows, 50 to 80 bytes, is a *stretch*. So all that can be equal meets b
    induced sorting, and windows that share 50 bytes with a neighbour form groups with a smallest id.
 3. Windows that are repeats go back to their documents, which cut them out.
 
-Rows are blobs: a task sends one for each shard, sorted and free of what it could settle alone, so an
+Rows are blobs: a task sends one for each shard, compressed and free of what it could settle alone, so an
 anchor or a stretch that a third of all documents hold reaches its shard once for each task, not once for
 each document; what a task has settled travels by shards of its own. The number of shards follows the
 corpus, so a shard stays at about ``SHARD_BYTES`` of text.
@@ -27,16 +27,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm.suffixarray import common_prefixes, suffix_array
-from lexweave.session import durable, table
+from lexweave.session import table
 
 LENGTH, SEED = 50, 20
 SPAN = LENGTH - SEED + 1
 LONGEST = LENGTH + SPAN - 1
-SHARD_BYTES = 12_000_000
+SHARD_BYTES = 6_000_000
 #: Texts are hashed together up to this many bytes (arrays stay in cache), and settled together up to UNIT_BYTES.
 CHUNK_BYTES, UNIT_BYTES = 1 << 18, 24_000_000
 _BITS = np.uint64(24)
@@ -143,6 +144,24 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
 
+def _zip(x: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x)
+
+
+def _zip_ints(x: np.ndarray) -> bytes:
+    """Longs as differences, which are small where the order is that of documents and places."""
+    return _zip(np.diff(x, prepend=0).tobytes())
+
+
+def _unzip(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x) for x in column.to_pylist()), kind)
+
+
+def _unzip_ints(column: pa.ChunkedArray) -> np.ndarray:
+    parts = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64) for x in column.to_pylist())
+    return np.concatenate([np.empty(0, np.int64), *map(np.cumsum, parts)])
+
+
 def _blobs(key: np.ndarray, *cols: np.ndarray) -> tuple[list, ...]:
     """Rows sorted by ``key`` as one (key, bytes, ...) for each key."""
     cut = _groups(key)
@@ -166,9 +185,12 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[
         several = np.diff(cut) > 1
         first = cut[:-1]
         own = _shard(h[first], shards)
-        by = np.argsort(own, kind="stable")
-        shard, hs, docs, flags = _blobs(own[by], h[first][by], doc[first][by], several[by])
-        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.nulls(len(shard), pa.int64()), pa.array(hs, pa.binary()), pa.array(docs, pa.binary()), pa.array(flags, pa.binary())], schema=ANCHORS)
+        by = np.lexsort((doc[first], own))
+        own, i, flags = own[by], first[by], several[by]
+        bounds = _groups(own)
+        parts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+        blobs = [[f(i[a:b], a, b) for a, b in parts] for f in (lambda j, *_: h[j].tobytes(), lambda j, *_: _zip_ints(doc[j]), lambda _, a, b: _zip(flags[a:b].tobytes()))]
+        yield pa.RecordBatch.from_arrays([pa.array([int(own[a]) for a, _ in parts], pa.int64()), pa.nulls(len(parts), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], schema=ANCHORS)
         inside = np.repeat(several, np.diff(cut))
         h, doc = h[inside], doc[inside]
         by = np.argsort(doc, kind="stable")
@@ -182,7 +204,7 @@ def _shared_anchors(rows: pa.Table) -> pa.Table:
     open_ = rows.filter(rows.column("doc_id").is_null())
     docs, hs = settled.column("doc_id").to_pylist(), settled.column("h").to_pylist()
     if open_.num_rows:
-        h, doc, several = (np.frombuffer(b"".join(open_.column(c).to_pylist()), t) for c, t in (("h", np.uint64), ("docs", np.int64), ("several", bool)))
+        h, doc, several = np.frombuffer(b"".join(open_.column("h").to_pylist()), np.uint64), _unzip_ints(open_.column("docs")), _unzip(open_.column("several"), bool)
         order = np.argsort(h, kind="stable")
         h, doc, several = h[order], doc[order], several[order]
         cut = _groups(h)
@@ -249,7 +271,7 @@ def _stretch_batches(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             j = i[a:b]
             inside = np.arange(LONGEST) < sizes[j][:, None]
-            for col, v in zip(out, (int(own[a]), h[j].tobytes(), doc[j].tobytes(), first[j].tobytes(), sizes[j].astype(np.uint8).tobytes(), rows[j][inside].tobytes()), strict=True):
+            for col, v in zip(out, (int(own[a]), h[j].tobytes(), _zip_ints(doc[j]), _zip_ints(first[j]), _zip(sizes[j].astype(np.uint8).tobytes()), _zip(rows[j][inside].tobytes())), strict=True):
                 col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.nulls(len(out[0]), pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], schema=STRETCHES)
         docs, places = _runs(doc[gone], first[gone], last[gone])
@@ -268,7 +290,9 @@ def _repeated_windows(rows: pa.Table) -> pa.Table:
     open_ = rows.filter(rows.column("doc_id").is_null())
     docs, places = settled.column("doc_id").to_pylist(), settled.column("places").to_pylist()
     if open_.num_rows:
-        h, doc, first, sizes, text = (np.frombuffer(b"".join(open_.column(c).to_pylist()), t) for c, t in (("h", np.uint64), ("docs", np.int64), ("places", np.int64), ("sizes", np.uint8), ("bytes", np.uint8)))
+        h = np.frombuffer(b"".join(open_.column("h").to_pylist()), np.uint64)
+        doc, first = _unzip_ints(open_.column("docs")), _unzip_ints(open_.column("places"))
+        sizes, text = _unzip(open_.column("sizes"), np.uint8), _unzip(open_.column("bytes"), np.uint8)
         sizes = sizes.astype(np.int64)
         rows_ = _padded(text, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
         same = _same(h, rows_, sizes)
@@ -347,8 +371,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary: the bytes that stay) for every row of ``docs``.
 
     Null texts are empty ones. Rows that repeat an id are equal in rank: they do not remove each other's
-    bytes; their texts should be equal, as what one repeats is cut from all where it lies inside them. A row with a null id loses nothing and
-    removes nothing. Other columns are not read. An empty table gives an empty result.
+    bytes; their texts should be equal, as what one repeats is cut from all where it lies inside them. A row
+    with a null id loses nothing and removes nothing. Other columns are not read. An empty table gives an
+    empty result.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = slim.where("doc_id is not null")
@@ -359,8 +384,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     again = named.join(wanted, "doc_id").select("doc_id", "text", "hashes")
     found = again.mapInArrow(partial(_stretch_batches, shards=shards), "shard long, doc_id long, h binary, docs binary, places binary, sizes binary, bytes binary")
     repeated = found.groupBy("shard").applyInArrow(_repeated_windows, "doc_id long, places binary")
-    places = durable(repeated.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("places").alias("places")))
-    cut = slim.join(places, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "places")
+    places = repeated.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    # both joins shuffle the same rows by the same key, so the texts move once and their exchange is read twice
+    cut = named.join(places, "doc_id", "left").select("doc_id", "text", "places")
+    cut = cut.unionByName(slim.where("doc_id is null").withColumn("places", F.lit(None).cast("array<binary>")))
     return cut.mapInArrow(_cut_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
