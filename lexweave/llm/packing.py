@@ -6,8 +6,9 @@
    lengths longest first into the pack with the most room and only updates the counts of patterns.
    Every step makes one new pattern at most and uses up a length or a pattern, so there are fewer than
    twice ``size`` patterns and their table, the one thing that is broadcast, is bounded by ``size`` alone.
-3. Pieces meet patterns by rank within their length. Ranks come from counts by (length, bucket of the
-   id's hash), so that a length that a third of all rows share is ranked by many tasks.
+3. Pieces meet patterns by rank within their length. Each length has as many buckets, by the hash of the
+   id, as its count asks for, so that a length that a third of all rows share is ranked by many tasks;
+   the buckets' first ranks are prefix sums in two levels.
 """
 
 from __future__ import annotations
@@ -21,19 +22,18 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.session import durable, table
 
 SIZE = 2048
 END_ID = 1
-PIECES_A_BUCKET = 20_000
+PIECES_A_BUCKET, BUCKETS_A_GROUP = 256, 4096
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 RANKS = "byte_bpe_50k.tiktoken"
 
 
-
 def encoder(ranks_path: str):
     """A function from a text to its ids. The ranks are the tokenizer file's own vocabulary; tests compare both on whole texts."""
     import tiktoken
@@ -118,15 +118,18 @@ def pack_documents(docs: DataFrame, ranks_path: str | None = None, size: int = S
     """
     spark = docs.sparkSession
     pieces = durable(cut_documents(docs, ranks_path, size, id_col, text_col))
-    n = pieces.count()
-    buckets = max(1, -(-n // PIECES_A_BUCKET))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
-    counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    rows = segments(plan_packs(histogram, size))
-    table_ = spark.createDataFrame(rows, "seg_length long, lo long, hi long, copies long, base long, at long")
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    table_ = spark.createDataFrame(segments(plan_packs(histogram, size)), "seg_length long, lo long, hi long, copies long, base long, at long")
+    buckets = spark.createDataFrame([(k, -(-n // PIECES_A_BUCKET)) for k, n in histogram.items()], "length long, buckets long")
+    pieces = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.col("buckets"))).drop("buckets")
+    counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("group", F.floor(F.col("bucket") / BUCKETS_A_GROUP))
+    groups = counts.groupBy("length", "group").agg(F.sum("n").alias("n"))
+
+    def before(by: list[str], order: str) -> Column:
+        return F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    groups = groups.select("length", "group", before(["length"], "group").alias("past"))
+    first = counts.select("length", "group", "bucket", before(["length", "group"], "bucket").alias("first")).join(groups, ["length", "group"]).select("length", "bucket", (F.col("first") + F.col("past")).alias("first"))
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
     ranked = pieces.withColumn("nth", F.row_number().over(own) - 1).join(first, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("nth"))
     met = ranked.join(F.broadcast(table_), (F.col("length") == F.col("seg_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
