@@ -16,8 +16,9 @@ run of windows, 50 to 80 bytes, is a *stretch*. So all that can be equal meets b
 
 Rows are blobs: a task sends one for each shard, compressed and free of what it could settle alone, so an
 anchor or a stretch that a third of all documents hold reaches its shard once for each task, not once for
-each document; what a task has settled travels by shards of its own. The number of shards follows the
-corpus, so a shard stays at about ``SHARD_BYTES`` of text.
+each document. Answers go back as blobs for buckets of documents, by the hash of the id; the texts are
+dealt to buckets once, and that exchange is read by both passes. The numbers of shards and buckets follow
+the corpus, so each stays at about ``SHARD_BYTES`` of text.
 """
 
 from __future__ import annotations
@@ -93,23 +94,26 @@ def stretches(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h[at[first]], first, last
 
 
-def _units(batches: Iterator[pa.RecordBatch], more: bool) -> Iterator[tuple[np.ndarray, list[bytes], list]]:
-    """(ids, texts, extras) of rows (doc_id, text[, hashes]), up to UNIT_BYTES at a time."""
-    ids, texts, extras, held = [], [], [], 0
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(ids, texts) of rows (doc_id, text), up to UNIT_BYTES at a time."""
+    ids, texts, held = [], [], 0
     for b in batches:
-        for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
-            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            data = _data(text)
             if len(data) < LENGTH:
                 continue
             ids.append(doc)
             texts.append(data)
-            extras.append(b.column(2)[i].as_py() if more else None)
             held += len(data)
             if held >= UNIT_BYTES:
-                yield np.array(ids), texts, extras
-                ids, texts, extras, held = [], [], [], 0
+                yield np.array(ids), texts
+                ids, texts, held = [], [], 0
     if ids:
-        yield np.array(ids), texts, extras
+        yield np.array(ids), texts
+
+
+def _data(text: pa.StringScalar) -> bytes:
+    return (text.as_py() or "").encode("utf-8", "surrogatepass")
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -144,6 +148,20 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
 
+def buckets_of(docs: np.ndarray, n: int) -> np.ndarray:
+    """``pmod(xxhash64(doc_id), n)`` as Spark has it."""
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, k: int) -> np.ndarray:
+        return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+    h = (np.uint64(42 + 8) + five) ^ (turned(docs.astype(np.int64).view(np.uint64) * two, 31) * one)
+    h = turned(h, 27) * one + four
+    h = (h ^ (h >> np.uint64(33))) * two
+    h = (h ^ (h >> np.uint64(29))) * three
+    return (h ^ (h >> np.uint64(32))).view(np.int64) % n
+
+
 def _zip(x: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(x)
 
@@ -162,18 +180,34 @@ def _unzip_ints(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([np.empty(0, np.int64), *map(np.cumsum, parts)])
 
 
-def _blobs(key: np.ndarray, *cols: np.ndarray) -> tuple[list, ...]:
-    """Rows sorted by ``key`` as one (key, bytes, ...) for each key."""
-    cut = _groups(key)
-    return ([int(key[a]) for a in cut[:-1]], *([c[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for c in cols))
+def _parts(key: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of the runs of sorted values."""
+    cut = _groups(key).tolist()
+    return [(int(key[x]), x, y) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+
 
+def _table(kind: pa.Schema, **cols: list) -> pa.Table:
+    """Columns by name; nulls for those that are not given."""
+    n = len(next(iter(cols.values())))
+    return pa.table([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in kind], schema=kind)
 
-ANCHORS = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("h", pa.binary()), ("docs", pa.binary()), ("several", pa.binary())])
+
+#: ``part``: a shard, or past the shards a bucket whose answers only pass through.
+ANCHORS = pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("h", pa.binary()), ("several", pa.binary())])
+SHARED = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("h", pa.binary())])
+
+
+def _dealt_anchors(doc: np.ndarray, h: np.ndarray, buckets: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    """(bucket, documents, hashes) for the buckets of these documents."""
+    own = buckets_of(doc, buckets)
+    by = np.lexsort((doc, own))
+    doc, h, parts = doc[by], h[by], _parts(own[by])
+    return [k for k, _, _ in parts], [_zip_ints(doc[a:b]) for _, a, b in parts], [h[a:b].tobytes() for _, a, b in parts]
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Anchors for their shards; those that several documents of a unit share are settled here and pass by shards of their own."""
-    for ids, texts, _ in _units(batches, False):
+    """Anchors for their shards; those that several documents of a unit share are settled here."""
+    for ids, texts in _units(batches):
         h, n, _, _ = _found(texts)
         doc = ids[n]
         order = np.lexsort((doc, h))
@@ -184,39 +218,32 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[
         cut = _groups(h)
         several = np.diff(cut) > 1
         first = cut[:-1]
-        own = _shard(h[first], shards)
-        by = np.lexsort((doc[first], own))
-        own, i, flags = own[by], first[by], several[by]
-        bounds = _groups(own)
-        parts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-        blobs = [[f(i[a:b], a, b) for a, b in parts] for f in (lambda j, *_: h[j].tobytes(), lambda j, *_: _zip_ints(doc[j]), lambda _, a, b: _zip(flags[a:b].tobytes()))]
-        yield pa.RecordBatch.from_arrays([pa.array([int(own[a]) for a, _ in parts], pa.int64()), pa.nulls(len(parts), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], schema=ANCHORS)
+        by = np.lexsort((doc[first], _shard(h[first], shards)))
+        i, flags, parts = first[by], several[by], _parts(_shard(h[first[by]], shards))
+        blobs = [[f(i[a:b], a, b) for _, a, b in parts] for f in (lambda j, *_: _zip_ints(doc[j]), lambda j, *_: h[j].tobytes(), lambda _, a, b: _zip(flags[a:b].tobytes()))]
+        yield from _table(ANCHORS, part=[k for k, _, _ in parts], docs=blobs[0], h=blobs[1], several=blobs[2]).to_batches()
         inside = np.repeat(several, np.diff(cut))
-        h, doc = h[inside], doc[inside]
-        by = np.argsort(doc, kind="stable")
-        docs, hs = _blobs(doc[by], h[by])
-        yield pa.RecordBatch.from_arrays([pa.array([shards + d % shards for d in docs], pa.int64()), pa.array(docs, pa.int64()), pa.array(hs, pa.binary()), pa.nulls(len(docs), pa.binary()), pa.nulls(len(docs), pa.binary())], schema=ANCHORS)
-
-
-def _shared_anchors(rows: pa.Table) -> pa.Table:
-    """A shard's anchors that more than one document holds: (doc_id, hashes)."""
-    settled = rows.filter(rows.column("doc_id").is_valid())
-    open_ = rows.filter(rows.column("doc_id").is_null())
-    docs, hs = settled.column("doc_id").to_pylist(), settled.column("h").to_pylist()
-    if open_.num_rows:
-        h, doc, several = np.frombuffer(b"".join(open_.column("h").to_pylist()), np.uint64), _unzip_ints(open_.column("docs")), _unzip(open_.column("several"), bool)
-        order = np.argsort(h, kind="stable")
-        h, doc, several = h[order], doc[order], several[order]
-        cut = _groups(h)
-        shared = np.repeat((np.diff(cut) > 1) | np.logical_or.reduceat(several, cut[:-1]), np.diff(cut)) & ~several
-        h, doc = h[shared], doc[shared]
-        by = np.argsort(doc, kind="stable")
-        more, blobs = _blobs(doc[by], h[by])
-        docs, hs = docs + more, hs + blobs
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "h": pa.array(hs, pa.binary())})
+        buckets, docs, hs = _dealt_anchors(doc[inside], h[inside], shards)
+        yield from _table(ANCHORS, part=[shards + k for k in buckets], docs=docs, h=hs).to_batches()
+
+
+def _shared_anchors(rows: pa.Table, shards: int) -> pa.Table:
+    """A shard's anchors that more than one document holds, for the buckets of these documents."""
+    part = rows.column("part")[0].as_py()
+    if part >= shards:
+        return _table(SHARED, bucket=[part - shards] * rows.num_rows, docs=rows.column("docs").to_pylist(), h=rows.column("h").to_pylist())
+    h, doc, several = np.frombuffer(b"".join(rows.column("h").to_pylist()), np.uint64), _unzip_ints(rows.column("docs")), _unzip(rows.column("several"), bool)
+    order = np.argsort(h, kind="stable")
+    h, doc, several = h[order], doc[order], several[order]
+    cut = _groups(h)
+    shared = np.repeat((np.diff(cut) > 1) | np.logical_or.reduceat(several, cut[:-1]), np.diff(cut)) & ~several
+    buckets, docs, hs = _dealt_anchors(doc[shared], h[shared], shards)
+    return _table(SHARED, bucket=buckets, docs=docs, h=hs)
 
 
-STRETCHES = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("h", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
+STRETCHES = pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("h", pa.binary()), ("places", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
+REPEATED = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("places", pa.binary())])
+CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
 def _padded(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -242,90 +269,91 @@ def _same(h: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _stretch_batches(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, hashes) to the stretches of these anchors; what a smaller id of the same unit repeats is settled here."""
-    for ids, texts, wanted in _units(batches, True):
-        h, n, first, last = _found(texts)
-        keep = np.zeros(len(h), bool)
-        cut = np.searchsorted(n, np.arange(len(texts) + 1))
-        for i, blobs in enumerate(wanted):
-            a, b = cut[i], cut[i + 1]
-            if a < b:
-                keep[a:b] = np.isin(h[a:b], np.frombuffer(b"".join(blobs), np.uint64))
-        h, n, first, last = h[keep], n[keep], first[keep], last[keep]
-        if not len(h):
-            continue
-        base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        sizes = last - first + LENGTH
-        rows = _padded(np.frombuffer(b"".join(texts), np.uint8), base[n] + first, sizes)
-        same, doc = _same(h, rows, sizes), ids[n]
-        least = np.full(same.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, same, doc)
-        gone = doc > least[same]
-        i = np.flatnonzero(~gone)
-        own = _shard(h[i], shards)
-        by = np.argsort(own, kind="stable")
-        i, own = i[by], own[by]
-        bounds = _groups(own)
-        out: list[list] = [[], [], [], [], [], []]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            j = i[a:b]
-            inside = np.arange(LONGEST) < sizes[j][:, None]
-            for col, v in zip(out, (int(own[a]), h[j].tobytes(), _zip_ints(doc[j]), _zip_ints(first[j]), _zip(sizes[j].astype(np.uint8).tobytes()), _zip(rows[j][inside].tobytes())), strict=True):
-                col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.nulls(len(out[0]), pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], schema=STRETCHES)
-        docs, places = _runs(doc[gone], first[gone], last[gone])
-        yield pa.RecordBatch.from_arrays([pa.array([shards + d % shards for d in docs], pa.int64()), pa.array(docs, pa.int64()), pa.nulls(len(docs), pa.binary()), pa.nulls(len(docs), pa.binary()), pa.array(places, pa.binary()), pa.nulls(len(docs), pa.binary()), pa.nulls(len(docs), pa.binary())], schema=STRETCHES)
-
-
-def _runs(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[list, list]:
-    """(doc_id, pairs of first and last window) by document."""
-    order = np.lexsort((first, doc))
-    return _blobs(doc[order], np.column_stack([first[order], last[order]]))
-
-
-def _repeated_windows(rows: pa.Table) -> pa.Table:
-    """A shard's windows that a smaller id repeats: (doc_id, pairs of first and last window)."""
-    settled = rows.filter(rows.column("doc_id").is_valid())
-    open_ = rows.filter(rows.column("doc_id").is_null())
-    docs, places = settled.column("doc_id").to_pylist(), settled.column("places").to_pylist()
-    if open_.num_rows:
-        h = np.frombuffer(b"".join(open_.column("h").to_pylist()), np.uint64)
-        doc, first = _unzip_ints(open_.column("docs")), _unzip_ints(open_.column("places"))
-        sizes, text = _unzip(open_.column("sizes"), np.uint8), _unzip(open_.column("bytes"), np.uint8)
-        sizes = sizes.astype(np.int64)
-        rows_ = _padded(text, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        same = _same(h, rows_, sizes)
-        least = np.full(same.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, same, doc)
-        gone = doc > least[same]
-        found = [(doc[gone], first[gone], first[gone] + sizes[gone] - LENGTH)]
-        one = np.unique(same, return_index=True)[1]  # a stretch of each content, in order of the anchors
-        cut = _groups(h[one])
-        ends = np.repeat(np.diff(cut) > 1, np.diff(cut))
-        if ends.any():
-            one = one[ends]
-            windows, row, at = _window_groups(rows_[one], sizes[one])
-            smallest = np.full(windows.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(smallest, windows, least[same[one]][row])
-            bad = smallest[windows] < least[same[one]][row]
-            # windows that repeat, by content; every document that holds the content first loses them
-            row, at = row[bad], at[bad]
-            order = np.lexsort((at, row))
-            row, at = row[order], at[order]
-            begin = np.ones(len(row), bool)
-            begin[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
-            i = np.flatnonzero(begin)
-            a, b, content = at[i], at[np.append(i[1:], len(at)) - 1] if len(i) else at[i], same[one][row[i]]
-            holders = np.flatnonzero(~gone & np.isin(same, content))
-            holders = holders[np.argsort(same[holders], kind="stable")]
-            low, high = np.searchsorted(same[holders], content, "left"), np.searchsorted(same[holders], content, "right")
-            k = np.repeat(np.arange(len(content)), high - low)
-            who = holders[np.arange(len(k)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[k]]
-            found.append((doc[who], first[who] + a[k], first[who] + b[k]))
-        more, blobs = _runs(*(np.concatenate(z) for z in zip(*found, strict=True)))
-        docs, places = docs + more, places + blobs
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "places": pa.array(places, pa.binary())})
+def _stretches(docs: pa.Table, shared: pa.Table, shards: int) -> pa.Table:
+    """The stretches of a bucket's shared anchors; what a smaller id of the bucket repeats is settled here."""
+    long = [(i, t) for i, t in zip(docs.column("doc_id").to_pylist(), map(_data, docs.column("text")), strict=True) if len(t) >= LENGTH]
+    if not long or not shared.num_rows:
+        return STRETCHES.empty_table()
+    ids, texts = np.array([i for i, _ in long]), [t for _, t in long]
+    h, n, first, last = _found(texts)
+    keep = np.isin(_pair(ids[n], h), _pair(_unzip_ints(shared.column("docs")), np.frombuffer(b"".join(shared.column("h").to_pylist()), np.uint64)))
+    h, n, first, last = h[keep], n[keep], first[keep], last[keep]
+    base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    sizes = last - first + LENGTH
+    rows = _padded(np.frombuffer(b"".join(texts), np.uint8), base[n] + first, sizes)
+    same, doc = _same(h, rows, sizes), ids[n]
+    least = np.full(same.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, same, doc)
+    gone = doc > least[same]
+    i = np.flatnonzero(~gone)
+    own = _shard(h[i], shards)
+    by = np.argsort(own, kind="stable")
+    i, parts = i[by], _parts(own[by])
+    out: list[list] = [[], [], [], [], [], []]
+    for k, a, b in parts:
+        j = i[a:b]
+        inside = np.arange(LONGEST) < sizes[j][:, None]
+        for col, v in zip(out, (k, _zip_ints(doc[j]), h[j].tobytes(), _zip_ints(first[j]), _zip(sizes[j].astype(np.uint8).tobytes()), _zip(rows[j][inside].tobytes())), strict=True):
+            col.append(v)
+    buckets, runs, places = _dealt_runs(doc[gone], first[gone], last[gone], shards)
+    settled = _table(STRETCHES, part=[shards + k for k in buckets], docs=runs, places=places)
+    return pa.concat_tables([_table(STRETCHES, **dict(zip(STRETCHES.names, out, strict=True))), settled])
+
+
+def _pair(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A hash of document and anchor; two that meet by chance only add a stretch that shares nothing."""
+    x = (doc.view(np.uint64) + np.uint64(1)) * _MIX
+    return h ^ x ^ (x >> np.uint64(29))
+
+
+def _dealt_runs(doc: np.ndarray, first: np.ndarray, last: np.ndarray, buckets: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    """(bucket, documents, pairs of first and last window) for the buckets of these documents."""
+    own = buckets_of(doc, buckets)
+    by = np.lexsort((first, doc, own))
+    doc, pairs, parts = doc[by], np.column_stack([first[by], last[by]]), _parts(own[by])
+    return [k for k, _, _ in parts], [_zip_ints(doc[a:b]) for _, a, b in parts], [_zip(pairs[a:b].tobytes()) for _, a, b in parts]
+
+
+def _repeated_windows(rows: pa.Table, shards: int) -> pa.Table:
+    """A shard's windows that a smaller id repeats, for the buckets of the documents that lose them."""
+    part = rows.column("part")[0].as_py()
+    if part >= shards:
+        return _table(REPEATED, bucket=[part - shards] * rows.num_rows, docs=rows.column("docs").to_pylist(), places=rows.column("places").to_pylist())
+    h = np.frombuffer(b"".join(rows.column("h").to_pylist()), np.uint64)
+    doc, first = _unzip_ints(rows.column("docs")), _unzip_ints(rows.column("places"))
+    sizes, text = _unzip(rows.column("sizes"), np.uint8), _unzip(rows.column("bytes"), np.uint8)
+    sizes = sizes.astype(np.int64)
+    rows_ = _padded(text, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+    same = _same(h, rows_, sizes)
+    least = np.full(same.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, same, doc)
+    gone = doc > least[same]
+    found = [(doc[gone], first[gone], first[gone] + sizes[gone] - LENGTH)]
+    one = np.unique(same, return_index=True)[1]  # a stretch of each content, in order of the anchors
+    cut = _groups(h[one])
+    ends = np.repeat(np.diff(cut) > 1, np.diff(cut))
+    if ends.any():
+        one = one[ends]
+        windows, row, at = _window_groups(rows_[one], sizes[one])
+        smallest = np.full(windows.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(smallest, windows, least[same[one]][row])
+        bad = smallest[windows] < least[same[one]][row]
+        # windows that repeat, by content; every document that holds the content first loses them
+        row, at = row[bad], at[bad]
+        order = np.lexsort((at, row))
+        row, at = row[order], at[order]
+        begin = np.ones(len(row), bool)
+        begin[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+        i = np.flatnonzero(begin)
+        a, b, content = at[i], at[np.append(i[1:], len(at)) - 1] if len(i) else at[i], same[one][row[i]]
+        holders = np.flatnonzero(~gone & np.isin(same, content))
+        holders = holders[np.argsort(same[holders], kind="stable")]
+        low, high = np.searchsorted(same[holders], content, "left"), np.searchsorted(same[holders], content, "right")
+        k = np.repeat(np.arange(len(content)), high - low)
+        who = holders[np.arange(len(k)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[k]]
+        found.append((doc[who], first[who] + a[k], first[who] + b[k]))
+    buckets, docs, places = _dealt_runs(*(np.concatenate(z) for z in zip(*found, strict=True)), shards)
+    return _table(REPEATED, bucket=buckets, docs=docs, places=places)
 
 
 def _window_groups(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -345,26 +373,34 @@ def _window_groups(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
     return group[use] - 1, row[order[use]], at[order[use]]
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(docs: pa.Table, repeated: pa.Table) -> pa.Table:
+    """The documents of a bucket without the windows that are repeats."""
+    who = _unzip_ints(repeated.column("docs"))
+    runs = _unzip(repeated.column("places"), np.int64).reshape(-1, 2)
+    order = np.argsort(who, kind="stable")
+    who, runs = who[order], runs[order]
+    out: list[list] = [[], [], [], []]
+    for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text"), strict=True):
+        data = left = _data(text)
+        n, removed, spans = len(data), 0, 0
+        own = runs[:0] if doc is None else runs[np.searchsorted(who, doc, "left") : np.searchsorted(who, doc, "right")]
+        own = own[own[:, 1] + LENGTH <= n]
+        if len(own):
+            step = np.zeros(n + 1, np.int64)
+            np.add.at(step, own[:, 0], 1)
+            np.add.at(step, own[:, 1] + LENGTH, -1)
+            gone = np.cumsum(step[:-1]) > 0
+            removed = int(gone.sum())
+            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            left = np.frombuffer(data, np.uint8)[~gone].tobytes()
+        for col, v in zip(out, (n, removed, spans, left), strict=True):
+            col.append(v)
+    return pa.table([docs.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], schema=CUT)
+
+
+def _whole_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: list[list] = [[], [], [], []]
-        for text, places in zip(b.column(1), b.column(2), strict=True):
-            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            places = np.frombuffer(b"".join(places.as_py() or ()), np.int64).reshape(-1, 2)
-            removed = spans = 0
-            left, n = data, len(data)
-            places = places[places[:, 1] + LENGTH <= n]
-            if len(places):
-                step = np.zeros(n + 1, np.int64)
-                np.add.at(step, places[:, 0], 1)
-                np.add.at(step, places[:, 1] + LENGTH, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                removed = int(gone.sum())
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                left = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            for col, v in zip(out, (n, removed, spans, left), strict=True):
-                col.append(v)
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield from _cut(pa.table(b), REPEATED.empty_table()).to_batches()
 
 
 def _as(docs: DataFrame, column: str, name: str, kind: str) -> Column:
@@ -383,17 +419,22 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     slim = docs.select(_as(docs, id_col, "doc_id", "bigint"), _as(docs, text_col, "text", "string"))
     named = slim.where("doc_id is not null")
     shards = max(1, -(-(named.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // SHARD_BYTES))
-    anchors = named.mapInArrow(partial(_anchor_batches, shards=shards), "shard long, doc_id long, h binary, docs binary, several binary")
-    shared = anchors.groupBy("shard").applyInArrow(_shared_anchors, "doc_id long, h binary")
-    wanted = shared.groupBy("doc_id").agg(F.collect_list("h").alias("hashes"))
-    again = named.join(wanted, "doc_id").select("doc_id", "text", "hashes")
-    found = again.mapInArrow(partial(_stretch_batches, shards=shards), "shard long, doc_id long, h binary, docs binary, places binary, sizes binary, bytes binary")
-    repeated = found.groupBy("shard").applyInArrow(_repeated_windows, "doc_id long, places binary")
-    places = repeated.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    # both joins shuffle the same rows by the same key, so the texts move once and their exchange is read twice
-    cut = named.join(places, "doc_id", "left").select("doc_id", "text", "places")
-    cut = cut.unionByName(slim.where("doc_id is null").withColumn("places", F.lit(None).cast("array<binary>")))
-    return cut.mapInArrow(_cut_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(shards).cast("long")).alias("bucket")
+    dealt = named.select("doc_id", "text", bucket).groupBy("bucket")
+    anchors = named.mapInArrow(partial(_anchor_batches, shards=shards), "part long, docs binary, h binary, several binary")
+    shared = anchors.groupBy("part").applyInArrow(_with(_shared_anchors, shards), "bucket long, docs binary, h binary")
+    found = dealt.cogroup(shared.groupBy("bucket")).applyInArrow(_with(_stretches, shards), "part long, docs binary, h binary, places binary, sizes binary, bytes binary")
+    repeated = found.groupBy("part").applyInArrow(_with(_repeated_windows, shards), "bucket long, docs binary, places binary")
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    cut = dealt.cogroup(repeated.groupBy("bucket")).applyInArrow(_cut, out)
+    return cut.unionByName(slim.where("doc_id is null").mapInArrow(_whole_batches, out))
+
+
+def _with(f, shards: int):
+    """``f`` with the number of shards; Spark counts the arguments of the function that it gets."""
+    if f is _stretches:
+        return lambda docs, shared: f(docs, shared, shards)
+    return lambda rows: f(rows, shards)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
