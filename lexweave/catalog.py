@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexweave.operators import facts, kb, neardup, ngrams, values
+from lexweave.operators import facts, kb, neardup, ngrams, sentences, values
+from lexweave.plans import patterns
 
-MODULES = (values, ngrams, neardup, kb, facts)
+MODULES = (values, ngrams, neardup, kb, facts, sentences, patterns)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 FLAGSHIP = "value_counts"
