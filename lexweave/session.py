@@ -9,6 +9,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables whose rows are long texts, so that work on a row outweighs moving it.
+TEXTS = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer parts than that, as with one small file of one row group.
+
+    A large table has more parts than cores and is left as it is, so texts are never moved for this at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def show_package(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, if it is not installed."""
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
@@ -20,7 +33,8 @@ def show_package(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``; read by Spark alone, so any store it knows will do."""
     show_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
