@@ -1,10 +1,13 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the last two line hashes chooses where a chunk ends, so boundaries move with the text
-around them. A multi-line chunk that also stands in a document with a smaller id, or earlier in the same
-document, is removed; the first one stays.
-
-1. Every document gives the hashes of its multi-line chunks, once each: numbers only, no text.
+Where a chunk ends depends on the lines next to that place alone, never on where the chunk began, so equal
+passages are cut alike whatever stands around them. A line of ``LONG_CHARS`` or more is a chunk of its own;
+a stretch of shorter lines is cut after lines whose hash is smaller than those of both neighbours; blank
+lines between chunks stay out of them. A chunk of several lines, or of one long line, that also stands in a
+document with a smaller id, or earlier in the same document, is removed; the first one stays. Of a passage
+among other short lines up to a chunk at either end is left, and a short line between long ones.
+
+1. Every document gives the hashes of these chunks, once each: numbers only, no text.
 2. Documents of a hash that others have give the bytes of those chunks alone. Grouping by the bytes
    themselves is the comparison; it is summed in the tasks before it shuffles, so a chunk that a third of
    all documents hold does not meet in one task, and adaptive execution splits the join that follows.
@@ -23,31 +26,49 @@ from pyspark.sql import functions as F
 from lexweave.llm.columns import replaced
 from lexweave.session import durable, table
 
-#: A chunk ends where the rolling hash is 0 modulo DIVISOR, after MIN_LINES at least and MAX_LINES at most.
-DIVISOR, MIN_LINES, MAX_LINES = 2, 2, 64
+#: A line of so many characters is a chunk of its own; of shorter lines a chunk has MIN_LINES at least to be removed.
+LONG_CHARS, MIN_LINES = 80, 2
 OWN = ("_lines", "_lost", "_gone", "_id")
-MULTIPLIER, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def _ends(stretch: list[str]) -> list[int]:
+    """Places in a stretch of short lines after which a chunk ends; both parts of a cut have two lines at least. Of equal lines every two make a chunk."""
+    h = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in stretch]
+    out, equal = [], 0
+    for i in range(1, len(h) - 2):
+        equal = equal + 1 if h[i] == h[i - 1] else 0
+        if h[i - 1] > h[i] < h[i + 1] or equal % 2:
+            out.append(i)
+    return [*out, len(h) - 1]
 
 
 def chunks(text: str) -> list[tuple[int, int, str]]:
-    """(first line, line past the last, text) of the chunks that make up a text, in order. Blank lines belong to the chunk they are in and do not roll."""
+    """(first line, line past the last, text) of the chunks that make up a text, in order. Blank lines inside a chunk belong to it; others are chunks of their own."""
     lines = text.split("\n")
-    out, first, filled, before = [], 0, 0, 0
+    cuts, short = {0, len(lines)}, []
+
+    def close() -> None:
+        first = 0
+        for k in _ends([lines[i] for i in short]) if short else ():
+            cuts.update((short[first], short[k] + 1))
+            first = k + 1
+        short.clear()
+
     for i, line in enumerate(lines):
-        if line.strip():
-            h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
-            rolled = ((before * MULTIPLIER + h) & MASK) >> 32
-            before, filled = h, filled + 1
-            if filled >= MIN_LINES and (rolled % DIVISOR == 0 or filled >= MAX_LINES):
-                out.append((first, i + 1, "\n".join(lines[first : i + 1])))
-                first, filled = i + 1, 0
-    if first < len(lines):
-        out.append((first, len(lines), "\n".join(lines[first:])))
-    return out
+        if len(line) >= LONG_CHARS and line.strip():
+            close()
+            cuts.update((i, i + 1))
+        elif line.strip():
+            short.append(i)
+    close()
+    at = sorted(cuts)
+    return [(a, b, "\n".join(lines[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def multi_line(text: str) -> bool:
-    return sum(1 for x in text.split("\n") if x.strip()) >= MIN_LINES
+    """Whether a chunk may be removed: it has several lines, or a long one, which counts as several."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    return len(lines) >= MIN_LINES or any(len(x) >= LONG_CHARS for x in lines)
 
 
 def _bytes(chunk: str) -> bytes:
@@ -60,7 +81,7 @@ def _name(chunk: str) -> bytes:
 
 
 def repeatable(text: str | None) -> dict[str, int]:
-    """The distinct multi-line chunks of a text, with their hashes."""
+    """The distinct chunks of a text that may be removed, with their hashes."""
     return {c: xxhash.xxh64_intdigest(_bytes(c)) - (1 << 63) for _, _, c in chunks(text or "") if multi_line(c)}
 
 
