@@ -1,4 +1,4 @@
-"""From raw documents to packed sequences: toxicity, line dedup, near-dedup, decontamination, packing.
+"""From raw documents to packed sequences: toxicity, line dedup, near-dedup by fingerprints and by shingles, decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the
 last return the columns of ``docs``. Stages are cut from each other by written tables, so a lost executor
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import decontaminate, linededup, packing, simhash, toxicity
+from lexweave.llm import decontaminate, jaccard, linededup, packing, simhash, toxicity
 from lexweave.llm.columns import sheltered
 from lexweave.session import ensure_checkpoint_dir, table
 
@@ -45,6 +45,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return named.unionByName(docs.where("doc_id is null")).select(*back)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those that share 0.8 of their five-word shingles with a group that holds a smaller id."""
+    docs, back = sheltered(docs)
+    gone = jaccard.later_copies(docs).select(F.col("doc_id").alias("_id"))
+    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").select(*back)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item has leaked into."""
     docs, back = sheltered(docs)
@@ -61,6 +68,7 @@ STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", dedup_lines),
     ("simhash_dedup", drop_near_duplicates),
+    ("shingle_dedup", drop_similar),
     ("decontamination", drop_contaminated),
     ("packing", pack),
 ]

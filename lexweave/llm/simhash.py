@@ -29,17 +29,17 @@ BLOCKS = ((0, 21), (21, 42), (42, 64))
 GROUP = 4096
 
 
-def shingle_hashes(text: str | None) -> list[int]:
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
     """XXH64 of each shingle of a text, repeats included."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII blanks only
     if not words:
         return []
     joined = b" ".join(words)
-    if len(words) < SHINGLE:
+    if len(words) < size:
         return [xxhash.xxh64_intdigest(joined, SEED)]
     starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], SEED) for a, b in zip(starts[: -SHINGLE].tolist(), (starts[SHINGLE:] - 1).tolist(), strict=True)]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts[: -size].tolist(), (starts[size:] - 1).tolist(), strict=True)]
 
 
 def fingerprint(text: str | None) -> int:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from lexweave.llm import linededup
+import corpus_pipeline
+from lexweave.llm import linededup, simhash
 
 
 def _left(first: str, second: str) -> str:
@@ -33,3 +34,17 @@ def test_a_repeated_paragraph_goes_and_a_repeated_heading_stays(spark):
     rows = [(1, f"heading\n{paragraph}\nfirst end"), (2, f"{paragraph}\n\nheading\n\n{paragraph}"), (3, paragraph)]
     got = {r["doc_id"]: (r["text"], r["_lost"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("\nheading\n", 2), 3: ("", 1)}
+
+
+def test_pipeline_drops_documents_of_like_shingles(spark, small):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    near = [w if i % 70 else "changed" for i, w in enumerate(words)]  # 3 words: Jaccard over 0.8 on five words
+    far = [w if i % 10 else "changed" for i, w in enumerate(words)]
+    texts = [" ".join(x) for x in (words, near, far)]
+    assert (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() > 3
+    docs = spark.createDataFrame([*enumerate(texts, 1), (None, texts[0]), (9, None), (10, "")], "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES:
+        if name.endswith("_dedup"):
+            docs = stage(spark, docs, small).localCheckpoint()
+    assert {r["doc_id"] for r in docs.collect()} == {1, 3, None, 9}
