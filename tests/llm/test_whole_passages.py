@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import __spark_entry__
 import corpus_pipeline
 from lexweave.llm import linededup, simhash
 
@@ -48,3 +49,10 @@ def test_pipeline_drops_documents_of_like_shingles(spark, small):
         if name.endswith("_dedup"):
             docs = stage(spark, docs, small).localCheckpoint()
     assert {r["doc_id"] for r in docs.collect()} == {1, 3, None, 9}
+
+
+def test_near_duplicates_tell_whom_a_representative_stands_for(spark, tmp_path):
+    rows = [(1, "One text, twice."), (2, "Another"), (3, "one TEXT twice"), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = __spark_entry__.queries()["near_duplicates_membership"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["rep_id"] for r in got} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
