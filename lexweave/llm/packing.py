@@ -13,44 +13,36 @@
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial
 
-import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexweave.llm.tokens import encoder
 from lexweave.session import durable, table
 
 SIZE = 2048
-END_ID = 1
+END = (1).to_bytes(4, "little")
 PIECES_A_BUCKET, BUCKETS_A_GROUP = 256, 4096
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-RANKS = "byte_bpe_50k.tiktoken"
-
-
-def encoder(ranks_path: str):
-    """A function from a text to its ids. The ranks are the tokenizer file's own vocabulary; tests compare both on whole texts."""
-    import tiktoken
-
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa.RecordBatch]:
     encode = encoder(path)
     for b in batches:
         out: list[list] = [[], [], [], [], []]
-        for doc, text in zip(b.column(0), b.column(1), strict=True):
-            doc, tokens = doc.as_py(), np.array([*encode(text.as_py() or ""), END_ID], "<u4")
-            for at in range(0, len(tokens), size):
-                piece = tokens[at : at + size]
-                for col, v in zip(out, (doc, at, len(piece), zlib.crc32(piece.tobytes()), len(tokens)), strict=True):
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            tokens = encode(text.as_py() or "") + END
+            n = len(tokens) // 4
+            for at in range(0, n, size):
+                length = min(size, n - at)
+                for col, v in zip(out, (doc, at, length, zlib.crc32(tokens[4 * at : 4 * (at + length)]), n), strict=True):
                     col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -102,14 +94,14 @@ def segments(packs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return rows
 
 
-def cut_documents(docs: DataFrame, ranks_path: str | None = None, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces ``doc_id, start, length, ids_crc32, doc_tokens`` of every row; a null text is an empty one (its end id only)."""
-    path = ranks_path or public_tokenizers.path(RANKS)
+    path = tokenizer or public_tokenizers.path(TOKENIZER)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(partial(_cut_batches, path=path, size=size), PIECE_SCHEMA)
 
 
-def pack_documents(docs: DataFrame, ranks_path: str | None = None, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs every row of ``docs``: its pieces plus ``sequence_id, offset``.
 
     Null ids and repeated rows are packed like any other row. Ties in rank are broken by id, start and
@@ -117,7 +109,7 @@ def pack_documents(docs: DataFrame, ranks_path: str | None = None, size: int = S
     columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
-    pieces = durable(cut_documents(docs, ranks_path, size, id_col, text_col))
+    pieces = durable(cut_documents(docs, tokenizer, size, id_col, text_col))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table_ = spark.createDataFrame(segments(plan_packs(histogram, size)), "seg_length long, lo long, hi long, copies long, base long, at long")
     buckets = spark.createDataFrame([(k, -(-n // PIECES_A_BUCKET)) for k, n in histogram.items()], "length long, buckets long")
