@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Tables whose rows are long texts, so that work on a row outweighs moving it.
 TEXTS = ("documents", "pages")
+#: Bytes of a file up to which it may be dealt anew.
+SMALL = 256 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its scan has fewer parts than that, as with one small file of one row group.
+    """``df`` over all cores if it is one small file of fewer row groups than that, which no split size of the reader divides.
 
-    A large table has more parts than cores and is left as it is, so texts are never moved for this at scale.
+    The bound is absolute: a table of over ``SMALL`` bytes is never moved for this, on any number of cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL and df.rdd.getNumPartitions() < cores else df
 
 
 def show_package(spark: SparkSession) -> None:
@@ -37,6 +41,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXTS else df
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; where it is unset (tests, one machine), a fresh local one."""
     jsc = spark.sparkContext._jsc.sc()
@@ -56,3 +64,10 @@ def durable(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the checkpoint folder, read again: computed once, with texts compressed and columns pruned."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
