@@ -18,4 +18,9 @@ def sheltered(docs: DataFrame, kept: Iterable[str] = ("doc_id", "text", "n_chars
     """``docs`` with all columns but ``kept`` under names that no operator uses, and the columns that undo it."""
     kept = {x.lower() for x in kept}
     names = {c: c if c.lower() in kept else f"__own_{i}" for i, c in enumerate(docs.columns)}
-    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+    return docs.select(*[F.col(f"`{c}`") if c == n else F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
+def as_kind(docs: DataFrame, column: str, name: str, kind: str) -> Column:
+    """A column of this name and type; bare where it is so already, as an alias keeps Spark from seeing that two exchanges are one."""
+    return F.col(column) if column == name and docs.schema[column].dataType.simpleString() == kind else F.col(column).cast(kind).alias(name)

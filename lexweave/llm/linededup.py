@@ -7,11 +7,14 @@ lines between chunks stay out of them. A chunk of several lines, or of one long
 document with a smaller id, or earlier in the same document, is removed; the first one stays. Of a passage
 among other short lines up to a chunk at either end is left, and a short line between long ones.
 
-1. Every document gives the hashes of these chunks, once each: numbers only, no text.
-2. Documents of a hash that others have give the bytes of those chunks alone. Grouping by the bytes
-   themselves is the comparison; it is summed in the tasks before it shuffles, so a chunk that a third of
-   all documents hold does not meet in one task, and adaptive execution splits the join that follows.
+1. Every document gives the names (128-bit hashes) of these chunks, once each: no text.
+2. Texts are dealt by id once; both passes below read that one exchange. Documents that hold a name which
+   others hold too give the bytes of those chunks. They are reduced to the least and the greatest bytes of a
+   name, in the tasks before they move: a name stands for equal bytes if the two are the same.
 3. A document loses the chunks that a smaller id holds, and its own repeats.
+
+A name that a third of all documents hold is one row for each task in step 2; it meets the list of documents
+through ``hot_join``. A name whose bytes differ (no such pair of texts is known) removes nothing.
 """
 
 from __future__ import annotations
@@ -23,11 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.columns import replaced
+from lexweave.llm.columns import as_kind, replaced
+from lexweave.operators.skew import hot_join
 from lexweave.session import durable, table
 
 #: A line of so many characters is a chunk of its own; of shorter lines a chunk has MIN_LINES at least to be removed.
 LONG_CHARS, MIN_LINES = 80, 2
+#: Parts that the documents of one name are dealt to.
+SALTS = 64
 OWN = ("_lines", "_lost", "_gone", "_id")
 
 
@@ -75,38 +81,30 @@ def _bytes(chunk: str) -> bytes:
     return chunk.encode("utf-8", "surrogatepass")
 
 
-def _name(chunk: str) -> bytes:
-    """Tells chunks of one document apart, once their bytes have been compared."""
-    return xxhash.xxh3_128_digest(_bytes(chunk))
-
-
-def repeatable(text: str | None) -> dict[str, int]:
-    """The distinct chunks of a text that may be removed, with their hashes."""
-    return {c: xxhash.xxh64_intdigest(_bytes(c)) - (1 << 63) for _, _, c in chunks(text or "") if multi_line(c)}
+def repeatable(text: str | None) -> dict[bytes, str]:
+    """The distinct chunks of a text that may be removed, by name."""
+    return {xxhash.xxh3_128_digest(_bytes(c)): c for _, _, c in chunks(text or "") if multi_line(c)}
 
 
-def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _name_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, hashes = [], []
+        ids, names = [], []
         for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            own = set(repeatable(text.as_py()).values())
+            own = repeatable(text.as_py())
             ids += [doc] * len(own)
-            hashes += own
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], ["doc_id", "h"])
+            names += own
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.binary())], ["doc_id", "name"])
 
 
 def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, hashes) to the chunks of these hashes."""
+    """The chunks of the names in ``_names``, one of each content in a batch."""
     for b in batches:
-        ids, names, texts = [], [], []
-        for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-            wanted = set(wanted)
-            for c, h in repeatable(text.as_py()).items():
-                if h in wanted:
-                    ids.append(doc)
-                    names.append(_name(c))
-                    texts.append(_bytes(c))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "name", "chunk"])
+        found = set()
+        for text, wanted in zip(b.column("text"), b.column("_names"), strict=True):
+            if wanted.is_valid:
+                own = repeatable(text.as_py())
+                found.update((n, own[n]) for n in wanted.as_py() if n in own)
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.binary()), pa.array([_bytes(c) for _, c in found], pa.binary())], ["name", "chunk"])
 
 
 def strip(text: str | None, gone: set[bytes]) -> tuple[str | None, int]:
@@ -114,7 +112,7 @@ def strip(text: str | None, gone: set[bytes]) -> tuple[str | None, int]:
     left, seen, n = [], set(), 0
     for first, past, c in chunks(text or ""):
         if multi_line(c):
-            if c in seen or (gone and _name(c) in gone):
+            if c in seen or (gone and xxhash.xxh3_128_digest(_bytes(c)) in gone):
                 n += past - first
                 continue
             seen.add(c)
@@ -147,20 +145,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     that are named like a result are replaced by it.
     """
     docs = replaced(docs, OWN)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    hashed = durable(slim.mapInArrow(_hash_batches, "doc_id long, h long"))
-    shared = hashed.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("h")
-    wanted = hashed.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hashes"))
-    found = slim.join(wanted, "doc_id").select("doc_id", "text", "hashes").mapInArrow(_chunk_batches, "doc_id long, name binary, chunk binary")
-    first = found.groupBy("chunk").agg(F.min("doc_id").alias("first_id"))
-    gone = found.join(first, "chunk").where("doc_id > first_id").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("name").alias("_gone"))
-    gone = durable(gone)
-    kept = docs.withColumn("text", F.col("text").cast("string")).join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    docs = docs.select(*[as_kind(docs, c, c, {"doc_id": "bigint", "text": "string"}.get(c, docs.schema[c].dataType.simpleString())) for c in docs.columns])
+    named, rest = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    held = durable(named.select("doc_id", "text").mapInArrow(_name_batches, "doc_id long, name binary"))
+    shared = held.groupBy("name").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n")).where("first_id <> last_id")
+    met = durable(hot_join(held, durable(shared.select("name", "first_id", "n")), "name", "n"))
+    wanted = met.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("name").alias("_names"))
+    # all columns and a left join, as below, so that both passes read one exchange of the texts
+    found = named.join(wanted, F.col("doc_id") == F.col("_id"), "left").mapInArrow(_chunk_batches, "name binary, chunk binary")
+    unlike = found.groupBy("name").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high").select("name", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    gone = met.where("doc_id > first_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(unlike, ["name", "salt"], "left_anti").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("name").alias("_gone"))
+    kept = named.join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id").unionByName(rest.withColumn("_gone", F.lit(None).cast("array<binary>")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_gone")
     return kept.mapInArrow(_strip_batches, f"{schema}, _lines long, _lost long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and digest of all of ``documents`` after line dedup."""
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_lost").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
