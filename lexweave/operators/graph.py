@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lexweave.session import durable
 
 MAX_ROUNDS = 60
+#: Rows of a part of the tables between rounds; small ones are not spread over many files.
+PART_ROWS = 500_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,10 +25,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct()
     pairs = durable(pairs)
-    nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    parts = 1 + 2 * pairs.count() // PART_ROWS  # neither nodes nor links ever outnumber this
+    nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().coalesce(parts))
     state, links = None, pairs.where("a <> b")
     for _ in range(MAX_ROUNDS):
-        links = durable(_small_star(_large_star(links)))
+        links = durable(_small_star(_large_star(links)).coalesce(parts))
         row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (row["n"], row["h"]) == state:
             break
