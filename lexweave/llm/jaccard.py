@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.simhash import shingle_hashes
 from lexweave.operators.graph import connected_components
+from lexweave.operators.skew import hot_join
 from lexweave.session import durable
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -69,16 +70,22 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """``a, b``: pairs of ids of ``docs`` (``doc_id, text``) whose texts link."""
+    """``a, b``: pairs of ids of ``docs`` (``doc_id, text``; ids are unique) whose texts link."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     keys = durable(slim.mapInArrow(_key_batches, "doc_id long, key long"))
-    drawn = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), "doc_id")).alias("first"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
-    met = keys.join(drawn.where("x <> y").select("key", F.col("first.doc_id").alias("other")), "key").where("doc_id <> other")
+    drawn = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), "doc_id")).alias("first"), F.count("*").alias("n"))
+    met = hot_join(keys, drawn.where("n > 1").select("key", F.col("first.doc_id").alias("other"), "n"), "key", "n").where("doc_id <> other")
     pairs = durable(met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct())
     first, second = (slim.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(_link_batches, "a long, b long")
 
 
-def later_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id`` of the documents whose group, joined by links, holds a smaller id. Null ids and texts without words are in no group."""
-    return connected_components(links(docs)).where("node <> component").select(F.col("node").alias("doc_id"))
+def later_copies(docs: DataFrame, order: str) -> DataFrame:
+    """``doc_id`` of the documents whose group, joined by links, holds one that comes before in ``order``, a column of ``docs``; ties by ``doc_id``.
+
+    Null ids and texts without words are in no group. An empty table gives an empty result.
+    """
+    groups = durable(connected_components(links(docs)))
+    members = durable(groups.join(docs.select(F.col("doc_id").alias("node"), F.col(order).alias("_order")), "node"))
+    first = members.groupBy("component").agg(F.min(F.struct("_order", "node")).alias("first"))
+    return members.join(first, "component").where("node <> first.node").select(F.col("node").alias("doc_id"))

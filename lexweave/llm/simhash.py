@@ -18,11 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.operators.graph import connected_components
-from lexweave.session import durable, table
+from lexweave.operators.skew import hot_join
+from lexweave.session import durable, shuffle_partitions, table
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 BLOCKS = ((0, 21), (21, 42), (42, 64))
@@ -57,6 +58,13 @@ def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
 
+def _mark_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns and the fingerprint of ``text``."""
+    for b in batches:
+        prints = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints.view(np.int64))], [*b.schema.names, "_fp"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (the fingerprint as a signed long) for every row."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -155,7 +163,8 @@ def _link_blocks(rows: pa.Table) -> pa.Table:
 
 def links(prints: DataFrame) -> DataFrame:
     """``a, b``: edges that connect all distinct ``fp`` which links connect."""
-    near = variants(prints).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link_batches, "a long, b long, key long")
+    spread = prints.select("fp").repartition(shuffle_partitions(prints.sparkSession), "fp")  # few rows, each of which becomes 131
+    near = variants(spread).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link_batches, "a long, b long, key long")
     near = durable(near.distinct())
     large = near.where("key is not null")
     n_blocks = large.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("n"))
@@ -174,11 +183,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result.
     """
     prints = durable(fingerprints(docs, id_col, text_col))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    return hot_join(prints, components(prints).select("fp", F.col("first.doc_id").alias("component_id"), "n"), "fp", "n").select("doc_id", "fp", "component_id")
+
+
+def components(prints: DataFrame) -> DataFrame:
+    """For every distinct fingerprint of ``prints`` (``doc_id, fp``): ``fp, n`` (its rows) and ``first``, the struct ``doc_id, fp`` that is smallest in its component."""
+    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
     parts = connected_components(links(distinct))
-    named = distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("part"))
-    least = named.groupBy("part").agg(F.min("first_id").alias("component_id"))
-    return prints.join(named.join(least, "part").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = durable(distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "n", "doc_id", F.coalesce("component", "fp").alias("part")))
+    first = named.where("doc_id is not null").groupBy("part").agg(F.min(F.struct("doc_id", "fp")).alias("first"))
+    return named.join(first, "part", "left").select("fp", "n", "first")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with an id, one for each group of near-duplicates: that of the smallest id.
+
+    Rows that share an id but are no near-duplicates all stay. Of rows with the smallest id in one group that
+    of the smallest fingerprint stays, then that of the smallest text. Rows without an id are left out.
+    ``docs`` has ``doc_id`` and ``text``.
+    """
+    first = components(durable(fingerprints(docs.where("doc_id is not null")))).where("fp = first.fp").select(F.col("first.doc_id").alias("_id"), F.col("fp").alias("_fp"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    marked = docs.where("doc_id is not null").mapInArrow(_mark_batches, f"{schema}, _fp long")
+    marked = marked.withColumn("_id", F.col("doc_id").cast("long")).join(first, ["_id", "_fp"], "left_semi")
+    one = Window.partitionBy("_id", "_fp").orderBy("text")
+    return marked.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_id", "_fp", "_nth")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
