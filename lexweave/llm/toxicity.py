@@ -1,13 +1,16 @@
 """Toxicity by a chain of linear classifiers.
 
-The chain's categories are predicted one after the other: ``junk`` (labelled of low quality), ``toxic``,
-``toxic_junk`` (both). Each is a logistic model over words, beginnings of words, and the probabilities of
-the categories before it. The models of later categories are trained with out-of-fold probabilities of the
-earlier ones, so they see them as uncertain as they will be; every model is then fitted on all rows for use.
+The chain's categories are predicted one after the other: ``junk`` (labelled of low quality), ``toxic_junk``
+(both), ``toxic``. Each is a logistic model over hashed words, hashed beginnings of words, and the
+probabilities of the categories before it; the last one gives the verdict. The models of later categories
+are trained with out-of-fold probabilities of the earlier ones, so they see them as uncertain as they will
+be; every model is then fitted on all rows for use. A model takes the features whose share differs between
+the two classes by ``MIN_Z`` standard errors or more in the very rows that it is fitted on, so nothing of a
+fold is known to the models that predict it. There is no limit to their number but that of the slots.
 
 Only the fit is on a sample: ``MOST_LABELS`` labelled documents at most, those whose ids have the smallest
-hashes, and ``WORDS`` words at most for each category. Both are bounds on what reaches the driver and the
-tasks. Every document is scored on its whole text, where it is read: there is no shuffle of documents.
+hashes. It bounds what reaches the driver; a chain has ``SLOTS`` weights a category at most. Documents are
+read twice, once for the sample and once to be scored, whole, where they are read: none is shuffled.
 """
 
 from __future__ import annotations
@@ -19,19 +22,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm.columns import replaced
 from lexweave.session import table
 
-CATEGORIES = ("junk", "toxic", "toxic_junk")
+CATEGORIES = ("junk", "toxic_junk", "toxic")
 REJECTED = "toxic"
-THRESHOLD = 0.4
-MOST_LABELS, WORDS, MIN_COUNT, FOLDS = 20_000, 400, 5, 4
+THRESHOLD = 0.3
+MOST_LABELS, SLOTS, FOLDS = 20_000, 1 << 18, 4
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
-RIDGE, ROUNDS = 1.0, 150
+MIN_Z, RIDGE, ROUNDS = 4.0, 0.5, 150
 
 
 def words_of(text: str | None) -> set[str]:
@@ -40,20 +44,50 @@ def words_of(text: str | None) -> set[str]:
     return words.union(*({w[:k] + "-" for w in words if len(w) > k} for k in BEGINNINGS))
 
 
+class Slots(dict):
+    """Slots by word, kept for words that were seen; cleared when there are many."""
+
+    MOST = 1 << 18
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > self.MOST:
+            self.clear()
+        self[word] = slot = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % SLOTS
+        return slot
+
+    def of(self, text: str | None) -> np.ndarray:
+        """The distinct slots of a text, in order."""
+        words = words_of(text)
+        return np.unique(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
+
+
+@dataclass
+class Model:
+    """Weights by slot, and those of the bias and of the categories before."""
+
+    slots: np.ndarray
+    weights: np.ndarray
+    dense: np.ndarray
+
+
 @dataclass
 class Chain:
-    """Fitted models: weights by category over words, a bias, and the categories before."""
+    """Fitted models, one for each category; none if nothing could be fitted."""
 
-    words: list[str] = field(default_factory=list)
-    models: list[np.ndarray] = field(default_factory=list)
+    models: list[Model] = field(default_factory=list)
 
-    def predict(self, rows: list[list[int]]) -> np.ndarray:
-        """Probabilities, a row for each list of word numbers and a column for each category; 0 if nothing was fitted."""
-        out = np.zeros((len(rows), len(CATEGORIES)))
+    def predict(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Probabilities, a row for each array of slots and a column for each category; 0 without models."""
+        out, dense = np.zeros((len(rows), len(CATEGORIES))), np.ones((len(rows), 1))
+        if not rows:
+            return out
+        sizes = np.array([len(r) for r in rows])
+        slots, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
         for k, model in enumerate(self.models):
-            n = len(self.words)
-            base = np.array([model[r].sum() if r else 0.0 for r in rows]) + model[n]
-            out[:, k] = _sigmoid(base + out[:, :k] @ model[n + 1 :])
+            weight = np.zeros(SLOTS)
+            weight[model.slots] = model.weights
+            out[:, k] = _sigmoid(np.bincount(row, weight[slots], len(rows)) + dense @ model.dense)
+            dense = np.column_stack([dense, out[:, k]])
         return out
 
 
@@ -61,12 +95,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _fit(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray) -> np.ndarray:
+def telling(rows: np.ndarray, slots: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slots whose share of rows differs between the classes of ``y`` by MIN_Z standard errors; none if a class is empty."""
+    n, positive = len(y), y.sum()
+    if not 0 < positive < n:
+        return np.empty(0, np.int64)
+    held = np.bincount(slots, minlength=SLOTS)
+    inside = np.bincount(slots, y[rows], SLOTS)
+    share, gap = held / n, inside / positive - (held - inside) / (n - positive)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * n / (positive * (n - positive)))
+    return np.flatnonzero((np.abs(gap) >= MIN_Z * error) & (held > 1))
+
+
+def fit(rows: np.ndarray, slots: np.ndarray, dense: np.ndarray, y: np.ndarray) -> Model:
     """Ridge logistic regression by accelerated gradient steps, each weight at the step its own curvature allows.
 
-    ``rows, cols``: the words of each row; ``dense``: the bias and the categories before.
+    ``rows, slots``: the features of each row; ``dense``: the bias and the categories before.
     """
-    n_words, n = int(cols.max(initial=-1)) + 1, len(y)
+    chosen = telling(rows, slots, y)
+    number = np.full(SLOTS, -1)
+    number[chosen] = np.arange(len(chosen))
+    use = number[slots] >= 0
+    rows, cols, n_words, n = rows[use], number[slots[use]], len(chosen), len(y)
     per_row = np.bincount(rows, minlength=n) + dense.shape[1]
     curve = np.concatenate([np.bincount(cols, per_row[rows], n_words), (dense**2 * per_row[:, None]).sum(0)]) / 4 + RIDGE
     w = z = np.zeros(n_words + dense.shape[1])
@@ -76,90 +126,68 @@ def _fit(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray) -
         g = np.concatenate([np.bincount(cols, p[rows], n_words), p @ dense]) + RIDGE * z
         new, later = z - g / curve, (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + (t - 1) / later * (new - w), new, later
-    return w
-
-
-def _padded(w: np.ndarray, n_dense: int, n_words: int) -> np.ndarray:
-    """``w`` with room for words that a fold did not hold."""
-    own = len(w) - n_dense
-    return np.concatenate([w[:own], np.zeros(n_words - own), w[own:]])
+    return Model(chosen, w[:n_words], w[n_words:])
 
 
-def fit_chain(words: list[str], features: list[list[int]], labels: np.ndarray) -> Chain:
-    """``features``: word numbers of each row; ``labels``: a column of 0 and 1 for each category."""
+def fit_chain(features: list[np.ndarray], labels: np.ndarray) -> Chain:
+    """``features``: slots of each row; ``labels``: a column of 0 and 1 for each category."""
     n = len(features)
-    if not n or not words:
+    if not n:
         return Chain()
-    rows = np.repeat(np.arange(n), [len(f) for f in features])
-    cols = np.array([c for f in features for c in f], np.int64)
+    rows, slots = np.repeat(np.arange(n), [len(f) for f in features]), np.concatenate(features)
     fold = np.arange(n) % FOLDS
     before, models = np.ones((n, 1)), []
     for k in range(labels.shape[1]):
         y, oof = labels[:, k].astype(float), np.zeros(n)
         for f in range(FOLDS):
             inside = fold != f
-            number = np.cumsum(inside) - 1
-            use = inside[rows]
-            w = _padded(_fit(number[rows[use]], cols[use], before[inside], y[inside]), before.shape[1], len(words))
-            rest = ~use
-            score = np.bincount(rows[rest], w[cols[rest]], n) + before @ w[len(words) :]
-            oof[~inside] = _sigmoid(score[~inside])
-        models.append(_padded(_fit(rows, cols, before, y), before.shape[1], len(words)))
+            number, use = np.cumsum(inside) - 1, inside[rows]
+            model = fit(number[rows[use]], slots[use], before[inside], y[inside])
+            weight = np.zeros(SLOTS)
+            weight[model.slots] = model.weights
+            oof[~inside] = _sigmoid(np.bincount(rows[~use], weight[slots[~use]], n) + before @ model.dense)[~inside]
+        models.append(fit(rows, slots, before, y))
         before = np.column_stack([before, oof])
-    return Chain(words, models)
-
-
-def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        words = [sorted(words_of(t.as_py())) for t in b.column(1)]
-        n = [len(w) for w in words]
-        yield pa.RecordBatch.from_arrays([pa.array([x for w in words for x in w], pa.string()), *(pa.array(np.repeat(b.column(i).to_numpy(), n)) for i in (2, 3))], ["word", "quality", "toxic"])
+    return Chain(models)
 
 
-def _feature_batches(batches: Iterator[pa.RecordBatch], numbers: dict[str, int]) -> Iterator[pa.RecordBatch]:
+def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    slots = Slots()
     for b in batches:
-        rows = [sorted(numbers[w] for w in words_of(t.as_py()) & numbers.keys()) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32())), b.column(2), b.column(3)], ["doc_id", "words", "quality", "toxic"])
-
-
-def _classes(quality: str = "quality", toxic: str = "toxic") -> list:
-    return [F.col(quality) == 0, F.col(toxic) == 1, (F.col(quality) == 0) & (F.col(toxic) == 1)]
+        rows = [slots.of(t.as_py()) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32())), b.column(2), b.column(3)], ["doc_id", "slots", "quality", "toxic"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Chain:
-    """A chain fitted on the sample. An id that is labelled more than once is toxic, or junk, if any of its labels says so. Without labels of both kinds in a category its model is left at chance or below."""
+    """A chain fitted on the sample.
+
+    An id that is labelled more than once is toxic, or junk, if any of its labels says so. Labels with a null
+    are not used. Rows that repeat an id and its features count once. A category without labels of both kinds
+    has a model of a bias alone; without any labelled document the chain is empty and all scores are 0.
+    """
     by_id = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     sample = by_id.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality", "toxic")
-    found = slim.mapInArrow(_word_batches, "word string, quality int, toxic int")
-    counts = found.groupBy("word").agg(F.count("*").alias("n"), *[F.count(F.when(c, 1)).alias(k) for k, c in zip(CATEGORIES, _classes(), strict=True)]).where(F.col("n") >= MIN_COUNT)
-    sizes = sample.agg(F.count("*").alias("n"), *[F.count(F.when(c, 1)).alias(k) for k, c in zip(CATEGORIES, _classes(), strict=True)]).first()
-    words: set[str] = set()
-    for k in CATEGORIES:
-        if 0 < sizes[k] < sizes["n"]:
-            share, spread = F.col("n") / sizes["n"], sizes["n"] / (sizes[k] * (sizes["n"] - sizes[k]))
-            gap = F.col(k) / sizes[k] - (F.col("n") - F.col(k)) / (sizes["n"] - sizes[k])
-            z = F.abs(gap) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * spread)
-            words |= {r["word"] for r in counts.select("word", z.alias("z")).orderBy(F.desc("z"), "word").limit(WORDS).collect()}
-    names = sorted(words)
-    numbers = {w: i for i, w in enumerate(names)}
-    rows = slim.mapInArrow(partial(_feature_batches, numbers=numbers), "doc_id long, words array<int>, quality int, toxic int").collect()
-    once = sorted({(r["doc_id"], tuple(r["words"]), r["quality"], r["toxic"]) for r in rows})
-    y = np.array([[q == 0, t == 1, q == 0 and t == 1] for _, _, q, t in once], int).reshape(-1, len(CATEGORIES))
-    return fit_chain(names, [list(w) for _, w, _, _ in once], y)
+    rows = slim.mapInArrow(_feature_batches, "doc_id long, slots array<int>, quality int, toxic int").toArrow()
+    once = {}
+    for doc, own, q, t in zip(*(rows.column(c) for c in ("doc_id", "slots", "quality", "toxic")), strict=True):
+        own = own.values.to_numpy()
+        once[doc.as_py(), q.as_py(), t.as_py(), own.tobytes()] = own
+    order = sorted(once)
+    y = np.array([[q == 0, q == 0 and t == 1, t == 1] for _, q, t, _ in order], int).reshape(-1, len(CATEGORIES))
+    return fit_chain([once[k] for k in order], y)
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.RecordBatch]:
-    numbers = {w: i for i, w in enumerate(chain.words)}
+    slots = Slots()
     for b in batches:
         names = b.schema.names
-        rows = [[numbers[w] for w in sorted(words_of(t.as_py()) & numbers.keys())] for t in b.column(names.index("text"))]
-        p = chain.predict(rows)
+        p = chain.predict([slots.of(t.as_py()) for t in b.column(names.index("text"))])
         yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(len(CATEGORIES)))], [*names, *(f"_p_{c}" for c in CATEGORIES)])
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """All rows and columns of ``docs`` (with ``text``) plus ``_p_junk, _p_toxic, _p_toxic_junk``.
+    """All rows and columns of ``docs`` (with ``text``) plus ``_p_junk, _p_toxic_junk, _p_toxic``.
 
     Null and empty texts are scored as texts without words. Repeated rows get equal scores. Without a
     fitted chain all scores are 0. An empty table gives an empty result. Columns of ``docs`` that are named
