@@ -29,9 +29,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.llm.columns import as_kind
 from lexweave.llm.suffixarray import common_prefixes, suffix_array
 from lexweave.session import table
 
@@ -403,11 +404,6 @@ def _whole_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from _cut(pa.table(b), REPEATED.empty_table()).to_batches()
 
 
-def _as(docs: DataFrame, column: str, name: str, kind: str) -> Column:
-    """A column of this name and type; bare where it is so already, as an alias keeps Spark from seeing that two exchanges are one."""
-    return F.col(column) if column == name and docs.schema[column].dataType.simpleString() == kind else F.col(column).cast(kind).alias(name)
-
-
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary: the bytes that stay) for every row of ``docs``.
 
@@ -416,7 +412,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with a null id loses nothing and removes nothing. Other columns are not read. An empty table gives an
     empty result.
     """
-    slim = docs.select(_as(docs, id_col, "doc_id", "bigint"), _as(docs, text_col, "text", "string"))
+    slim = docs.select(as_kind(docs, id_col, "doc_id", "bigint"), as_kind(docs, text_col, "text", "string"))
     named = slim.where("doc_id is not null")
     shards = max(1, -(-(named.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // SHARD_BYTES))
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(shards).cast("long")).alias("bucket")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -158,22 +160,55 @@ def test_toxicity_held_out(spark):
     assert sum(r["p"] and not r["toxic"] for r in rows) <= 0.01 * len(rows)
 
 
+def _line_chunks(text: str) -> list[tuple[str, bool]]:
+    """(chunk, whether it may go) by the rule, a stretch of short lines at a time."""
+    lines, spans, i = text.split("\n"), [], 0
+    filled = [k for k, x in enumerate(lines) if x.strip()]
+    while i < len(filled):
+        if len(lines[filled[i]]) >= 80:
+            spans.append((filled[i], filled[i], 2))
+            i += 1
+            continue
+        stretch = []
+        while i < len(filled) and len(lines[filled[i]]) < 80:
+            stretch.append(filled[i])
+            i += 1
+        h, start, equal = [xxhash.xxh64_intdigest(lines[k].encode()) for k in stretch], 0, 0
+        for k in range(len(stretch)):
+            if 1 <= k < len(stretch) - 2:
+                equal = equal + 1 if h[k] == h[k - 1] else 0
+            if k == len(stretch) - 1 or (1 <= k < len(stretch) - 2 and (h[k - 1] > h[k] < h[k + 1] or equal % 2)):
+                spans.append((stretch[start], stretch[k], k - start + 1))
+                start = k + 1
+    out, at = [], 0
+    for a, b, n in spans:
+        if at < a:
+            out.append(("\n".join(lines[at:a]), False))
+        out.append(("\n".join(lines[a : b + 1]), n >= 2))
+        at = b + 1
+    return [*out, ("\n".join(lines[at:]), False)] if at < len(lines) else out
+
+
 def test_line_dedup(spark, small, docs):
     docs = docs.sort_values("doc_id")
     first: dict[str, int] = {}
     for i, t in zip(docs.doc_id, docs.text, strict=True):
-        for c in linededup.repeatable(t):
-            first.setdefault(c, i)
+        for c, may_go in _line_chunks(t):
+            if may_go:
+                first.setdefault(c, i)
     got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(table(spark, small, "documents")).collect()}
+    gone = 0
     for i, t in zip(docs.doc_id, docs.text, strict=True):
         left, seen = [], set()
-        for _, _, c in linededup.chunks(t):
-            if linededup.multi_line(c):
+        for c, may_go in _line_chunks(t):
+            if may_go:
                 if first[c] < i or c in seen:
+                    gone += 1
                     continue
                 seen.add(c)
             left.append(c)
         assert got[i] == "\n".join(left)
+    assert gone
 
 
 def test_line_chunks_survive_shifts():
@@ -215,6 +250,37 @@ def test_decontamination():
         assert found == (7, _tiles(doc, item) / len(item))
 
 
+def test_tiling_of_few_words():
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        few = int(rng.integers(1, 6))
+        a, b = rng.integers(1, few + 1, int(rng.integers(1, 50))), rng.integers(1, few + 1, int(rng.integers(1, 35)))
+        if rng.random() < 0.5:
+            cut = int(rng.integers(0, len(a)))
+            b = np.concatenate([b, a[cut : cut + 20]])
+        assert decontaminate.tiled(a, b) == _tiles(a.tolist(), b.tolist())
+
+
+def test_repetitive_texts_are_tiled_in_linear_time():
+    block = decontaminate.Block([(1, "a " * 5000), (2, "a b " * 100)])
+    began = time.perf_counter()
+    assert list(block.coverage("a " * 500_000, 0.6)) == [(1, 1.0)]
+    assert time.perf_counter() - began < 20
+
+
+def test_blocks_of_a_large_benchmark(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 30)) for _ in range(30)]
+    docs = [(i, " ".join(f"x{x}" for x in rng.integers(0, 50, 40)) + " " + t[: int(len(t) * cut)]) for i, (t, cut) in enumerate(zip(texts, rng.random(30), strict=True))]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    whole = decontaminate.coverages(*frames).collect()
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 1000)
+    assert sorted(decontaminate.coverages(*frames).collect()) == sorted(whole)
+    for i, text, item, share in whole:
+        best = max((_tiles(text.split(), t.split()) / 30, -n) for n, t in enumerate(texts))
+        assert (share, item) == ((best[0], -best[1]) if best[0] >= decontaminate.THRESHOLD else (0.0, None))
+
+
 def test_leaks_are_found_and_nothing_else(spark, small, docs):
     items = pd.read_parquet(f"{small}/benchmark.parquet").text
     got = {r["doc_id"]: r["contaminated"] for r in decontaminate.query(spark, small).collect()}
@@ -231,7 +297,49 @@ def test_html():
     assert htmltext.main_text(None) == ""
 
 
-@pytest.mark.parametrize("seed", range(5))
+TEXT = "This is a long clear paragraph of an article about the history of bridges, with many words and details. " * 3
+ARTICLE = f"<h1>Bridges</h1><p>{TEXT}</p><p>{TEXT}</p>"
+PLAIN_ARTICLE = "\n".join(["Bridges", TEXT.strip(), TEXT.strip()])
+NAV, FOOTER = "<nav><a href=x>Home</a> <a href=y>News</a></nav>", "<footer>Us</footer>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"{NAV}<div class='content no-sidebar'>{ARTICLE}</div>{FOOTER}",
+        f"<form id='aspnetForm'>{NAV}<div id='main'>{ARTICLE}</div></form>{FOOTER}",
+        f"<form action='/x'>{ARTICLE}</form>{FOOTER}",
+        f"{NAV}<div class='social-issues'>{ARTICLE}</div>{FOOTER}",
+        f"{NAV}<article class='legal-analysis'>{ARTICLE}</article>{FOOTER}",
+        f"{NAV}<div id='page-header-image-wrapper'>{ARTICLE}</div>{FOOTER}",
+        f"{NAV}<article>{ARTICLE}</article><div class='responses'><div class='response'><p>{TEXT}</p></div><div><p>{TEXT * 3}</p></div></div>{FOOTER}",
+        f"{NAV}<article>{ARTICLE}<section class='feedback'><p>{TEXT}</p></section></article>{FOOTER}",
+        f"{NAV}<main>{ARTICLE}</main><div class='sidebar'><article><h3>Teaser</h3><p>A short teaser text</p></article></div>{FOOTER}",
+        f"<header class='site-header'><p>A tagline of the site</p></header><article><header>{ARTICLE}</header></article><div class='related-stories'><p>Another story</p></div>{FOOTER}",
+    ],
+)
+def test_html_of_odd_names(body):
+    assert htmltext.main_text(f"<body>{body}</body>") == PLAIN_ARTICLE
+
+
+def test_html_of_short_and_of_long_pages():
+    assert htmltext.main_text("<div><h2>News</h2><p>Yes.</p></div>") == "News\nYes."
+    began = time.perf_counter()
+    text = htmltext.main_text("<body>" + "".join(f"<p>paragraph {i} {TEXT}</p>" if i % 3 else f"<p><a href=x>link {i}</a></p>" for i in range(100_000)))
+    assert text.count("\n") > 60_000 and time.perf_counter() - began < 20
+
+
+def test_html_of_all_pages(spark, small):
+    """Word for word the articles of the pages, whose markup says where they are."""
+    pages = {r["page_id"]: r["html"] for r in table(spark, small, "pages").collect()}
+    for r in htmltext.query(spark, small).collect():
+        page = pages[r["page_id"]]
+        article = page[page.index("<article>") : page.rindex("</article>")]
+        article = re.sub(r"<(script|style).*?</\1>|<!--.*?-->|<[^>]*>", " ", article, flags=re.DOTALL)
+        assert html.unescape(article).split() == r["text"].split() and r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize("seed", range(50))
 def test_minimum_cut(seed):
     rng = np.random.default_rng(seed)
     scores = rng.normal(0, 2, 9).tolist()
@@ -272,14 +380,51 @@ def test_packing_plan_uses_each_length_up():
     assert n == histogram and len(packs) <= 2 * packing.SIZE
 
 
-def test_pipeline(spark, small):
-    docs = table(spark, small, "documents")
-    first = corpus_pipeline.STAGES[0][1](spark, docs, small)
+def _first_of_groups(ids: list[int], linked) -> set[int]:
+    """The smallest id of each group of ids that links connect."""
+    left, first = sorted(ids), set()
+    while left:
+        at, *left = left
+        first.add(at)
+        front = [at]
+        while front:
+            one = front.pop()
+            near = [x for x in left if linked(one, x)]
+            front += near
+            left = [x for x in left if x not in near]
+    return first
+
+
+def test_pipeline(spark, small, docs):
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "line_dedup", "simhash_dedup", "decontamination", "packing"]
+    whole = table(spark, small, "documents")
+    first = stages["toxicity"](spark, whole, small)
     labels = table(spark, small, "labels").where("toxic = 1").select("doc_id")
-    assert first.join(labels, "doc_id").count() <= 0.5 * labels.join(docs, "doc_id").count()
-    third = corpus_pipeline.STAGES[2][1](spark, docs, small)
-    prints = simhash.query(spark, small).where("doc_id = component_id").select("doc_id")
-    assert {r[0] for r in third.select("doc_id").collect()} == {r[0] for r in prints.collect()}
+    assert first.columns == whole.columns
+    assert first.join(labels, "doc_id").count() <= 0.5 * labels.join(whole, "doc_id").count()
+    assert first.count() >= 0.85 * whole.count()
+
+    text = dict(zip(docs.doc_id.tolist(), docs.text, strict=True))
+    prints = {i: simhash.fingerprint(t) for i, t in text.items()}
+    left = _first_of_groups(list(text), lambda x, y: (prints[x] ^ prints[y]).bit_count() <= 3)
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text[i])) for i in left}
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    left = _first_of_groups(list(left), lambda x, y: len(shingles[x] & shingles[y]) >= 0.8 * max(1, len(shingles[x] | shingles[y])))
+    third = stages["simhash_dedup"](spark, whole, small)
+    assert {r[0] for r in third.select("doc_id").collect()} == left
+
+    items = [decontaminate.WORD.findall(t.lower()) for t in pd.read_parquet(f"{small}/benchmark.parquet").text]
+    grams, number = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in items], defaultdict(lambda: len(number) + 1)
+    leaked = set()
+    for i, t in text.items():
+        own = decontaminate.WORD.findall(t.lower())
+        mine = {tuple(own[k : k + 5]) for k in range(len(own) - 4)}
+        if any(mine & g and decontaminate.tiled(np.array([number[w] for w in own]), np.array([number[w] for w in x])) >= 0.6 * len(x) for x, g in zip(items, grams, strict=True)):
+            leaked.add(i)
+    fourth = stages["decontamination"](spark, whole, small)
+    assert leaked and {r[0] for r in fourth.select("doc_id").collect()} == set(text) - leaked
+
     last = corpus_pipeline.run(spark, small)
     assert last.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    assert 0 < last.select("doc_id").distinct().count() < docs.count()
+    assert 0 < last.select("doc_id").distinct().count() < whole.count()

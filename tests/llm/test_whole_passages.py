@@ -11,7 +11,7 @@ from lexweave.llm import linededup, simhash
 
 def _left(first: str, second: str) -> str:
     """``second`` after ``first``, as dedup_lines leaves it."""
-    gone = {linededup._name(c) for c in linededup.repeatable(first)}
+    gone = set(linededup.repeatable(first))
     return linededup.strip(second, gone)[0]
 
 
@@ -47,10 +47,20 @@ def test_pipeline_drops_documents_of_like_shingles(spark, small):
     docs = spark.createDataFrame([*enumerate(texts, 1), (None, texts[0]), (9, None), (10, "")], "doc_id long, text string")
     for name, stage in corpus_pipeline.STAGES:
         if name.endswith("_dedup"):
-            docs = stage(spark, docs, small).localCheckpoint()
+            docs = stage(spark, docs, small)
     assert {r["doc_id"] for r in docs.collect()} == {1, 3, None, 9}
 
 
+def test_rows_that_share_an_id_but_are_unlike_stay(spark, small):
+    rng = random.Random(7)
+    long = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(3)]
+    rows = [(1, long[0], "a"), (1, long[1], "b"), (1, long[1], "b"), (2, long[1], "c"), (2, long[2], "d"), (None, long[2], "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    left = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, small)
+    assert left.columns == docs.columns
+    assert sorted(r["_row"] for r in left.collect()) == ["a", "b", "d", "e"]
+
+
 def test_near_duplicates_tell_whom_a_representative_stands_for(spark, tmp_path):
     rows = [(1, "One text, twice."), (2, "Another"), (3, "one TEXT twice"), (4, None), (5, "")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
