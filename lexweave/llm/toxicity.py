@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,27 +39,29 @@ BEGINNINGS = (4, 5, 6)
 MIN_Z, RIDGE, ROUNDS = 4.0, 0.5, 150
 
 
-def words_of(text: str | None) -> set[str]:
-    """The words of a text in lower case, and their beginnings, marked, which stand for inflected and compound forms."""
-    words = set(WORD.findall((text or "").lower()))
-    return words.union(*({w[:k] + "-" for w in words if len(w) > k} for k in BEGINNINGS))
-
-
 class Slots(dict):
-    """Slots by word, kept for words that were seen; cleared when there are many."""
+    """Slots of a word and of its beginnings, marked, which stand for inflected and compound forms; of those alone that ``telling`` has, if given.
+
+    Kept for words that were seen; cleared when there are many.
+    """
 
     MOST = 1 << 18
 
-    def __missing__(self, word: str) -> int:
+    def __init__(self, telling: np.ndarray | None = None) -> None:
+        self.telling = None if telling is None else frozenset(telling.tolist())
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > self.MOST:
             self.clear()
-        self[word] = slot = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % SLOTS
-        return slot
+        names = [word, *(word[:k] + "-" for k in BEGINNINGS if len(word) > k)]
+        slots = [xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) % SLOTS for x in names]
+        self[word] = out = tuple(slots if self.telling is None else self.telling.intersection(slots))
+        return out
 
     def of(self, text: str | None) -> np.ndarray:
-        """The distinct slots of a text, in order."""
-        words = words_of(text)
-        return np.unique(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
+        """The distinct slots of a text in lower case, in order."""
+        words = set(WORD.findall((text or "").lower()))
+        return np.array(sorted(set(chain.from_iterable(map(self.__getitem__, words)))), np.int32)
 
 
 @dataclass
@@ -76,6 +79,9 @@ class Chain:
 
     models: list[Model] = field(default_factory=list)
 
+    def telling(self) -> np.ndarray:
+        return np.unique(np.concatenate([np.empty(0, np.int64), *(m.slots for m in self.models)]))
+
     def predict(self, rows: list[np.ndarray]) -> np.ndarray:
         """Probabilities, a row for each array of slots and a column for each category; 0 without models."""
         out, dense = np.zeros((len(rows), len(CATEGORIES))), np.ones((len(rows), 1))
@@ -178,15 +184,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     return fit_chain([once[k] for k in order], y)
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.RecordBatch]:
-    slots = Slots()
+def _score_batches(batches: Iterator[pa.RecordBatch], fitted: Chain) -> Iterator[pa.RecordBatch]:
+    slots = Slots(fitted.telling())
     for b in batches:
         names = b.schema.names
-        p = chain.predict([slots.of(t.as_py()) for t in b.column(names.index("text"))])
+        p = fitted.predict([slots.of(t.as_py()) for t in b.column(names.index("text"))])
         yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(len(CATEGORIES)))], [*names, *(f"_p_{c}" for c in CATEGORIES)])
 
 
-def score(docs: DataFrame, chain: Chain) -> DataFrame:
+def score(docs: DataFrame, fitted: Chain) -> DataFrame:
     """All rows and columns of ``docs`` (with ``text``) plus ``_p_junk, _p_toxic_junk, _p_toxic``.
 
     Null and empty texts are scored as texts without words. Repeated rows get equal scores. Without a
@@ -195,7 +201,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """
     out = replaced(docs, (f"_p_{c}" for c in CATEGORIES)).withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    return out.mapInArrow(partial(_score_batches, chain=chain), schema + "".join(f", _p_{c} double" for c in CATEGORIES))
+    return out.mapInArrow(partial(_score_batches, fitted=fitted), schema + "".join(f", _p_{c} double" for c in CATEGORIES))
 
 
 def rejected() -> Column:
