@@ -74,18 +74,22 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def word_shape(w: Column) -> Column:
-    """Class of a word by its digits and case; the first rule that fits counts."""
-    rules = [
-        (r"^[0-9]{2}$", "twoDigit"), (r"^[0-9]{4}$", "fourDigit"), (r"^[0-9]+$", "otherNumber"),
-        (r"^[0-9\p{L}]*([0-9]\p{L}|\p{L}[0-9])[0-9\p{L}]*$", "digitAlpha"), (r"^[0-9]+(-[0-9]+)+$", "digitDash"), (r"^[0-9]+(/[0-9]+)+$", "digitSlash"),
-        (r"^[0-9]+(,[0-9]+)+$", "digitComma"), (r"^[0-9]*\.[0-9]+$", "digitPeriod"), (r"^\p{Lu}\.$", "capPeriod"), (r"^\p{Lu}+$", "allCaps"),
-        (r"^\p{Lu}", "initCap"), (r"^\p{Ll}+$", "lowercase"),
-    ]
-    out = None
-    for pattern, name in rules:
-        out = F.when(w.rlike(pattern), name) if out is None else out.when(w.rlike(pattern), name)
-    return out.otherwise("other")
+#: Classes of words with a digit by what else they hold; the first that fits counts. Fixed values.
+WITH_DIGIT = (("containsDigitAndAlpha", r"\p{L}"), ("containsDigitAndDash", "-"), ("containsDigitAndSlash", "/"), ("containsDigitAndComma", ","), ("containsDigitAndPeriod", r"\."))
+
+
+def word_shape(w: Column, starts_sentence: Column | None = None) -> Column:
+    """Class of a word by its digits, then by its case; the first rule that fits counts.
+
+    A capital at the start of a sentence is a class of its own where ``starts_sentence`` says so.
+    """
+    out = F.when(w.rlike("^[0-9]{2}$"), "twoDigitNum").when(w.rlike("^[0-9]{4}$"), "fourDigitNum")
+    for name, pattern in WITH_DIGIT:
+        out = out.when(w.rlike("[0-9]") & w.rlike(pattern), name)
+    out = out.when(w.rlike("[0-9]"), "otherNum").when(w.rlike(r"^\p{Lu}+$"), "allCaps").when(w.rlike(r"^\p{Lu}\.$"), "capPeriod")
+    if starts_sentence is not None:
+        out = out.when(w.rlike(r"^\p{Lu}") & starts_sentence, "firstWord")
+    return out.when(w.rlike(r"^\p{Lu}"), "initCap").when(w.rlike(r"^\p{Ll}+$"), "lowerCase").otherwise("other")
 
 
 def acronym(c: Column) -> Column:

@@ -24,8 +24,20 @@ def ranked(rows: DataFrame, slot: str, most: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(slot).orderBy(*order))).where(F.col("rank") <= most)
 
 
-#: Weights of neighbours by distance, by the size of the window.
-SMOOTHING = {1: (1.0,), 3: (1.0, 0.5), 5: (1.0, 0.6, 0.3), 7: (1.0, 0.7, 0.4, 0.2)}
+#: Weights of neighbours by distance, by the size of the window. Fixed values.
+SMOOTHING = {
+    1: (1.0,),
+    3: (1.0, 0.5),
+    5: (1.0, 0.8, 0.5),
+    7: (1.0, 0.9, 0.75, 0.5),
+    9: (1.0, 0.95, 0.82, 0.70, 0.5),
+    11: (1.0, 0.98, 0.90, 0.82, 0.7, 0.5),
+}
+
+
+def smoothing(size: int) -> tuple[float, ...]:
+    """Weights of a window size; a size that has none smooths nothing."""
+    return SMOOTHING.get(size, SMOOTHING[1])
 
 
 def smoothed(rows: DataFrame, score: str, by: str, order: str, weights: tuple[float, ...]) -> Column:
@@ -84,7 +96,9 @@ def _q_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _q_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.when(F.col("l_linenumber") % 5 == 4, F.lit(-1.0)).otherwise(F.col("l_discount")))).alias("s"))
-    return li.select("l_orderkey", *[F.round(combine(F.col("s"), how), 9).alias(how) for how in ("max", "min", "mult", "avg")])
+    top = F.when(F.col("l_orderkey") % 3 == 0, 0.25).when(F.col("l_orderkey") % 3 == 1, -1.0)
+    ways = {"max": "max", "min": "min", "mult": "mult", "avg": "avg", "top": "mult-including-top"}
+    return li.select("l_orderkey", *[F.round(combine(F.col("s"), ways[k]), 9).alias(k) for k in ways if k != "top"], *[F.round(combine(F.col("s"), ways[k], top), 9).alias(f"{k}_with_top") for k in ways])
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +107,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _q_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir)
-    return t.select("conv_id", "turn", F.round(smoothed(t, "score", "conv_id", "turn", SMOOTHING[5]), 9).alias("smoothed"), near_mark(F.col("role") == "system", "conv_id", "turn", 1, 1).alias("near_system"))
+    return t.select("conv_id", "turn", *[F.round(smoothed(t, "score", "conv_id", "turn", smoothing(n)), 9).alias(f"smoothed_{n}") for n in (*SMOOTHING, 4)], near_mark(F.col("role") == "system", "conv_id", "turn", 1, 1).alias("near_system"))
 
 
 def _q_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,12 +157,17 @@ ORACLE_SQL = {
         o AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey, doc ORDER BY fact) AS k FROM f),
         h AS (SELECT l_suppkey, l_partkey, count(*) AS n_facts, count(DISTINCT doc) AS n_docs, max(score) AS best_score, min(g) AS best_group, min(day) AS oldest, max(day) AS newest, count(*) FILTER (WHERE k = 1 AND rel) AS n_reliable, max(fact) AS newest_fact FROM o GROUP BY 1, 2)
         SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n_facts DESC, best_score DESC, newest_fact DESC)::INT AS rank FROM h QUALIFY rank <= 3""",
-    "score_combiners": """WITH s AS (SELECT l_orderkey, CASE WHEN l_linenumber % 5 = 4 THEN NULL ELSE l_discount END AS d FROM lineitem)
-        SELECT l_orderkey, round(CASE WHEN count(d) = 0 THEN -1.0 ELSE greatest(0.0, max(d)) END, 9) AS max, round(CASE WHEN count(d) = 0 THEN -1.0 ELSE least(1.0, min(d)) END, 9) AS min,
-            round(CASE WHEN count(d) = 0 THEN -1.0 ELSE product(d) END, 9) AS mult, round(coalesce(avg(d), -1.0), 9) AS avg FROM s GROUP BY 1""",
-    "smoothed_scores": """WITH t AS (SELECT conv_id, turn, role, length(text) / 1000 AS s FROM conversations)
-        SELECT conv_id, turn, round(greatest(s, coalesce(lag(s, 1) OVER w, 0) * 0.6, coalesce(lead(s, 1) OVER w, 0) * 0.6, coalesce(lag(s, 2) OVER w, 0) * 0.3, coalesce(lead(s, 2) OVER w, 0) * 0.3), 9) AS smoothed,
-            max((role = 'system')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS near_system FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "score_combiners": """WITH s AS (SELECT l_orderkey, CASE WHEN l_linenumber % 5 = 4 THEN NULL ELSE l_discount END AS d FROM lineitem),
+        c AS (SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN 0.25 END AS t, count(d) = 0 AS none, greatest(0.0, max(d)) AS hi, least(1.0, min(d)) AS lo, product(d) AS pr, avg(d) AS av FROM s GROUP BY 1, 2)
+        SELECT l_orderkey, round(CASE WHEN none THEN -1.0 ELSE hi END, 9) AS max, round(CASE WHEN none THEN -1.0 ELSE lo END, 9) AS min, round(CASE WHEN none THEN -1.0 ELSE pr END, 9) AS mult, round(coalesce(av, -1.0), 9) AS avg,
+            round(coalesce(t, CASE WHEN none THEN -1.0 ELSE hi END), 9) AS max_with_top, round(coalesce(t, CASE WHEN none THEN -1.0 ELSE lo END), 9) AS min_with_top, round(coalesce(t, CASE WHEN none THEN -1.0 ELSE pr END), 9) AS mult_with_top,
+            round(coalesce(t, av, -1.0), 9) AS avg_with_top, round(CASE WHEN none THEN coalesce(t, -1.0) ELSE pr * coalesce(t, 1.0) END, 9) AS top_with_top FROM c""",
+    "smoothed_scores": f"""WITH t AS (SELECT conv_id, turn, role, length(text) / 1000 AS s FROM conversations),
+        c(size, d, w) AS (VALUES (1, 0, 1.0), (3, 0, 1.0), (3, 1, 0.5), (5, 0, 1.0), (5, 1, 0.8), (5, 2, 0.5), (7, 0, 1.0), (7, 1, 0.9), (7, 2, 0.75), (7, 3, 0.5), (9, 0, 1.0), (9, 1, 0.95), (9, 2, 0.82), (9, 3, 0.70), (9, 4, 0.5),
+            (11, 0, 1.0), (11, 1, 0.98), (11, 2, 0.90), (11, 3, 0.82), (11, 4, 0.7), (11, 5, 0.5), (4, 0, 1.0)),
+        n AS (SELECT a.conv_id, a.turn, size, round(max(b.s * w::DOUBLE), 9) AS v FROM t a JOIN t b USING (conv_id) JOIN c ON d = abs(a.turn - b.turn) GROUP BY 1, 2, 3),
+        m AS (SELECT conv_id, turn, max((role = 'system')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS near_system FROM t)
+        SELECT conv_id, turn, {", ".join(f"max(v) FILTER (WHERE size = {k}) AS smoothed_{k}" for k in (1, 3, 5, 7, 9, 11, 4))}, any_value(near_system) AS near_system FROM n JOIN m USING (conv_id, turn) GROUP BY 1, 2""",
     "precision_recall": r"""WITH g AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'bad' ELSE 'good' END AS kind FROM labels),
         s AS (SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[|#$%&*!]')) > 10 THEN 'bad' ELSE 'good' END AS kind FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
         b AS (SELECT kind, s.doc_id IS NOT NULL AS a, g.doc_id IS NOT NULL AS c FROM (SELECT DISTINCT * FROM s) s FULL JOIN (SELECT DISTINCT * FROM g) g USING (doc_id, kind)),

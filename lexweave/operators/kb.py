@@ -25,36 +25,42 @@ def ancestors(nodes: DataFrame, bins: int) -> DataFrame:
     return child.join(above, "bin").where("lft <= l and rgt >= r").select("id", "ancestor").distinct()
 
 
-def closure(parents: DataFrame, most: int = 100) -> DataFrame:
-    """``id, ancestor, depth`` for all chains of ``id, parent``; a node's depth above itself starts at 1.
+def closure(parents: DataFrame) -> DataFrame:
+    """``id, ancestor, depth`` for all chains of ``id, parent``; ``depth`` is the least number of steps, 1 for a parent.
 
-    One join a level until a level is empty; cycles end as each pair keeps its least depth.
+    Chains double in length with every round, so a round is two joins by key and their number grows with the
+    logarithm of the longest chain; cycles end as a pair keeps its least depth. Null ends are ignored.
     """
-    edges = parents.where("id is not null and parent is not null").distinct()
-    known = front = durable(edges.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
-    for depth in range(2, most):
-        step = front.join(edges.select(F.col("id").alias("ancestor"), "parent"), "ancestor").select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        front = durable(step.join(known, ["id", "ancestor"], "left_anti"))
-        if front.isEmpty():
-            break
-        known = known.unionByName(front)
-    return known
+    known = durable(parents.where("id is not null and parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    size = known.agg(F.count("*"), F.sum("depth")).first()
+    while True:
+        further = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.id")).select("a.id", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        known = durable(known.unionByName(further).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
+        new = known.agg(F.count("*"), F.sum("depth")).first()
+        if new == size:
+            return known
+        size = new
 
 
 def either_join(left: DataFrame, right: DataFrame, one: str, other: str, key: str) -> DataFrame:
-    """``left`` joined with ``right`` where either of two columns equals ``key``: two joins by key, without repeats."""
-    return left.join(right, F.col(one) == F.col(key)).unionByName(left.join(right, F.col(other) == F.col(key))).distinct()
+    """``left`` joined with ``right`` where either of two columns equals ``key``: two joins by key.
+
+    A pair that meets both ways comes once; repeated rows stay repeated, as in a join with OR.
+    """
+    again = F.coalesce(F.col(one) == F.col(key), F.lit(False))
+    return left.join(right, F.col(one) == F.col(key)).unionByName(left.join(right, F.col(other) == F.col(key)).where(~again))
 
 
 def best_row(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group in a total order, by an aggregate that is combined before the shuffle where the order is one value; here by window."""
+    """The first row of each group in a total order; a window, as the order may be of any columns and directions."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
 
 
 def updated(rows: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
-    """``rows`` with ``column`` replaced where ``changes`` has the key."""
-    new = changes.select(key, F.col(column).alias("_new"))
-    return rows.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+    """``rows`` with ``column`` replaced where ``changes`` has the key, by null too; of several changes of a key the greatest value counts, nulls last."""
+    new = changes.groupBy(F.col(key).alias("_key")).agg(F.max(column).alias("_new"))
+    found = F.col("_key").isNotNull()
+    return rows.join(new, F.col(key) == F.col("_key"), "left").withColumn(column, F.when(found, F.col("_new")).otherwise(F.col(column))).drop("_key", "_new")
 
 
 def inserted(rows: DataFrame, more: DataFrame, key: str) -> DataFrame:
@@ -97,6 +103,7 @@ def _q_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _q_either(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 25).cast("int").alias("other_key"))
+    c = c.unionByName(c.where("c_custkey % 7 = 0"))
     return either_join(c, table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "c_nationkey", "other_key", "n_nationkey").select("c_custkey", "n_name")
 
 
@@ -137,7 +144,7 @@ def _q_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _q_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
-    return updated(s, s.where("s_suppkey % 3 = 0").select("s_suppkey", F.lit(0.0).alias("s_acctbal")), "s_suppkey", "s_acctbal")
+    return updated(s, s.where("s_suppkey % 3 = 0").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, 0.0).alias("s_acctbal")), "s_suppkey", "s_acctbal")
 
 
 def _q_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +172,7 @@ ORACLE_SQL = {
     "parent_chain": """WITH RECURSIVE e AS (SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS parent FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
         t AS (SELECT id, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT t.id, e.parent, depth + 1 FROM t JOIN e ON e.id = t.ancestor)
         SELECT ancestor, depth, count(*) AS n FROM t GROUP BY 1, 2""",
-    "either_join": "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey OR c_custkey % 25 = n_nationkey",
+    "either_join": "SELECT c_custkey, n_name FROM (SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_custkey % 7 = 0) JOIN nation ON c_nationkey = n_nationkey OR c_custkey % 25 = n_nationkey",
     "largest_per_group": "SELECT c_nationkey, c_custkey, c_name, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey DESC) = 1",
     "average_duplicates": "SELECT p_name, trunc(avg(p_size))::BIGINT AS size, count(*) AS n FROM part GROUP BY 1",
     "in_union": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
@@ -173,7 +180,7 @@ ORACLE_SQL = {
     "three_way_join": "SELECT r_name, c_mktsegment, count(*) AS n FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND c_mktsegment IS NOT NULL GROUP BY 1, 2",
     "name_suffix": "SELECT DISTINCT p_name FROM part WHERE p_name LIKE '% ring'",
     "limit_offset": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100",
-    "row_update": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier",
+    "row_update": "SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN 0.0 WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END AS s_acctbal FROM supplier",
     "insert_missing": "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
     "density_check": "SELECT count(p_partkey) AS n, max(p_partkey) AS most, max(p_partkey) + 1 = count(p_partkey) AS dense FROM part",
     "alias_self_join": "SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - abs(a.p_size - b.p_size) / 50, 6) AS score FROM part a JOIN part b USING (p_brand, p_type) WHERE a.p_partkey < b.p_partkey AND round(1 - abs(a.p_size - b.p_size) / 50, 6) >= 0.9",

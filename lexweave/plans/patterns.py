@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.text import tokens
 from lexweave.operators.sentences import sentences
-from lexweave.operators.values import EMAIL, PHONE, URL
+from lexweave.operators.values import phones, value_type
 from lexweave.session import table
 
 KEY = ("doc_id", "sent_no")
@@ -121,8 +121,11 @@ def _word(s: PatternSet, parts: list, _: tuple) -> DataFrame:
 
 
 def _value(s: PatternSet, parts: list, _: tuple) -> DataFrame:
-    kind = F.when(F.col("_found").rlike(EMAIL), "email").when(F.col("_found").rlike(URL), "url").when(F.col("_found").rlike(PHONE), "phone")
-    return _labelled(s.sentences.select(*KEY, F.explode(tokens(F.col("sentence"))).alias("_found")).where(kind.isin(_option(parts, "type"))), parts, "_found")
+    types = _option(parts, "type")
+    found = s.sentences.select(*KEY, F.explode(tokens(F.col("sentence"))).alias("_found")).where(value_type(F.col("_found")).isin(types))
+    if "phone" in types:
+        found = found.unionByName(phones(s.sentences).select(*KEY, F.col("number").alias("_found")))
+    return _labelled(found, parts, "_found")
 
 
 def _any(s: PatternSet, parts: list, inside: tuple) -> DataFrame:
@@ -147,7 +150,7 @@ COMPILERS: dict[str, Callable[[PatternSet, list, tuple], DataFrame]] = {"text":
 
 EXAMPLE = """
 (wordset articles the The der die)
-(define contact (any-of (value (type email) (return what)) (value (type phone) (return what))))
+(define contact (any-of (value (type email) (return what)) (value (type url) (return what))))
 (toplevel (all-of contact (doc (word (in articles))) (none-of (text "Licensed under"))))
 """
 
@@ -166,8 +169,8 @@ _S = r"""s AS (SELECT doc_id, i - 1 AS sent_no, trim(regexp_replace(l[i], '[ \t\
 QUERIES = {"pattern_matches": _q_matches, "pattern_regex": _q_regex}
 ORACLE_SQL = {
     "pattern_matches": rf"""WITH {_S}, t AS (SELECT doc_id, sent_no, x, unnest(string_split(x, ' ')) AS w FROM n)
-        SELECT DISTINCT doc_id, sent_no, w AS what FROM t WHERE (regexp_matches(w, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.(com|gov|edu|org|mil|net)')
-            OR (NOT regexp_matches(w, '(?i)(https?:|www\.|[a-z0-9-]+\.(com|gov|edu|org|mil|net)(/|$))') AND regexp_matches(w, '^\(?\+?[0-9]{{3}}[-.)][0-9]{{3}}[-.][0-9]{{4}}$|^[0-9]{{3}}[-.][0-9]{{4}}$')))
+        SELECT DISTINCT doc_id, sent_no, w AS what FROM t WHERE (regexp_matches(lower(w), '@.*\.(com|gov|edu|org|mil|net)') OR regexp_matches(w, '@.*\.[A-Za-z][A-Za-z]([^A-Za-z0-9_]|$)')
+            OR regexp_matches(lower(w), 'https?:') OR contains(lower(w), 'www.') OR regexp_matches(lower(w), '\.(com|gov|edu|org|mil|net)([^a-z0-9_]|$)'))
             AND doc_id IN (SELECT doc_id FROM t WHERE w IN ('the', 'The', 'der', 'die')) AND NOT contains(' ' || x || ' ', ' Licensed under ')""",
     "pattern_regex": rf"""WITH {_S}, m AS (SELECT DISTINCT doc_id, sent_no, regexp_extract(x, '[a-z]+tion [a-z]+ing') AS pair, regexp_extract(x, '^[A-Z][a-z]+') AS first FROM n WHERE regexp_matches(x, '[a-z]+tion [a-z]+ing') AND regexp_matches(x, '^[A-Z][a-z]+'))
         SELECT first, pair, count(*) AS n FROM m GROUP BY 1, 2""",

@@ -49,15 +49,16 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 
 
 def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """The result of a stream over all input that there is, as a table."""
+    """The result of a stream over all input that there is, as a table. A batch that is repeated replaces itself."""
     spark, name = stream.sparkSession, f"s{uuid.uuid4().hex}"
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{name}"
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    out = spark.read.parquet(f"{folder}/out")
+    return out if mode == "complete" else out.drop("batch")
 
 
 def new_documents(stream: DataFrame) -> DataFrame:
