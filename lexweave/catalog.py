@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lexweave.operators import facts, kb, neardup, ngrams, sentences, values
+from lexweave.operators import facts, kb, lookups, neardup, ngrams, relations, sentences, values
 from lexweave.plans import patterns
 from lexweave.streaming import queues
 
-MODULES = (values, ngrams, neardup, kb, facts, sentences, patterns, queues)
+MODULES = (values, ngrams, neardup, kb, facts, lookups, relations, sentences, patterns, queues)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 FLAGSHIP = "value_counts"
