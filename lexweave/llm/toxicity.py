@@ -37,6 +37,8 @@ MOST_LABELS, SLOTS, FOLDS = 20_000, 1 << 18, 4
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 MIN_Z, RIDGE, ROUNDS = 4.0, 0.5, 150
+#: Features that are counted at once.
+STEP = 1 << 20
 
 
 class Slots(dict):
@@ -101,38 +103,50 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def telling(rows: np.ndarray, slots: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Slots whose share of rows differs between the classes of ``y`` by MIN_Z standard errors; none if a class is empty."""
-    n, positive = len(y), y.sum()
+def counted(rows: np.ndarray, slots: np.ndarray, group: np.ndarray, groups: int, y: np.ndarray | None = None) -> np.ndarray:
+    """Rows that hold each slot, by group of rows; of those with ``y``, if given."""
+    out = np.zeros(groups * SLOTS, np.int64)
+    for k in range(0, len(rows), STEP):
+        row, slot = rows[k : k + STEP], slots[k : k + STEP]
+        if y is not None:
+            slot, row = slot[y[row] > 0], row[y[row] > 0]
+        out += np.bincount(group[row] * SLOTS + slot, minlength=len(out))
+    return out.reshape(groups, SLOTS)
+
+
+def telling(held: np.ndarray, hits: np.ndarray, n: int, positive: int) -> np.ndarray:
+    """Slots whose share of rows differs between the classes by MIN_Z standard errors; none if a class is empty.
+
+    ``held, hits``: rows of each slot, and those of them in the class, of ``n`` and ``positive``.
+    """
     if not 0 < positive < n:
         return np.empty(0, np.int64)
-    held = np.bincount(slots, minlength=SLOTS)
-    inside = np.bincount(slots, y[rows], SLOTS)
-    share, gap = held / n, inside / positive - (held - inside) / (n - positive)
+    share, gap = held / n, hits / positive - (held - hits) / (n - positive)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * n / (positive * (n - positive)))
     return np.flatnonzero((np.abs(gap) >= MIN_Z * error) & (held > 1))
 
 
-def fit(rows: np.ndarray, slots: np.ndarray, dense: np.ndarray, y: np.ndarray) -> Model:
-    """Ridge logistic regression by accelerated gradient steps, each weight at the step its own curvature allows.
+def fit(rows: np.ndarray, slots: np.ndarray, chosen: np.ndarray, dense: np.ndarray, y: np.ndarray, inside: np.ndarray) -> tuple[Model, np.ndarray]:
+    """Ridge logistic regression on the rows ``inside``, and its probabilities for all rows.
 
-    ``rows, slots``: the features of each row; ``dense``: the bias and the categories before.
+    By accelerated gradient steps, each weight at the step its own curvature allows. ``rows, slots``: the
+    features of each row, of which ``chosen`` are used; ``dense``: the bias and the categories before.
     """
-    chosen = telling(rows, slots, y)
-    number = np.full(SLOTS, -1)
+    number = np.full(SLOTS, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
     use = number[slots] >= 0
-    rows, cols, n_words, n = rows[use], number[slots[use]], len(chosen), len(y)
-    per_row = np.bincount(rows, minlength=n) + dense.shape[1]
-    curve = np.concatenate([np.bincount(cols, per_row[rows], n_words), (dense**2 * per_row[:, None]).sum(0)]) / 4 + RIDGE
+    rows, cols, n_words, n = rows[use].astype(np.int64), number[slots[use]].astype(np.int64), len(chosen), len(y)
+    own = inside[rows]
+    per_row = (np.bincount(rows, minlength=n) + dense.shape[1]) * inside
+    curve = np.concatenate([np.bincount(cols[own], per_row[rows[own]], n_words), (dense**2 * per_row[:, None]).sum(0)]) / 4 + RIDGE
     w = z = np.zeros(n_words + dense.shape[1])
     t = 1.0
     for _ in range(ROUNDS):
-        p = _sigmoid(np.bincount(rows, z[cols], n) + dense @ z[n_words:]) - y
+        p = (_sigmoid(np.bincount(rows, z[cols], n) + dense @ z[n_words:]) - y) * inside
         g = np.concatenate([np.bincount(cols, p[rows], n_words), p @ dense]) + RIDGE * z
         new, later = z - g / curve, (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + (t - 1) / later * (new - w), new, later
-    return Model(chosen, w[:n_words], w[n_words:])
+    return Model(chosen, w[:n_words], w[n_words:]), _sigmoid(np.bincount(rows, w[cols], n) + dense @ w[n_words:])
 
 
 def fit_chain(features: list[np.ndarray], labels: np.ndarray) -> Chain:
@@ -140,19 +154,18 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray) -> Chain:
     n = len(features)
     if not n:
         return Chain()
-    rows, slots = np.repeat(np.arange(n), [len(f) for f in features]), np.concatenate(features)
+    rows, slots = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features]), np.concatenate(features)
     fold = np.arange(n) % FOLDS
     before, models = np.ones((n, 1)), []
+    held = counted(rows, slots, fold, FOLDS)
     for k in range(labels.shape[1]):
         y, oof = labels[:, k].astype(float), np.zeros(n)
+        hits = counted(rows, slots, fold, FOLDS, y)
         for f in range(FOLDS):
             inside = fold != f
-            number, use = np.cumsum(inside) - 1, inside[rows]
-            model = fit(number[rows[use]], slots[use], before[inside], y[inside])
-            weight = np.zeros(SLOTS)
-            weight[model.slots] = model.weights
-            oof[~inside] = _sigmoid(np.bincount(rows[~use], weight[slots[~use]], n) + before @ model.dense)[~inside]
-        models.append(fit(rows, slots, before, y))
+            chosen = telling(held.sum(0) - held[f], hits.sum(0) - hits[f], int(inside.sum()), int(y[inside].sum()))
+            oof[fold == f] = fit(rows, slots, chosen, before, y, inside)[1][fold == f]
+        models.append(fit(rows, slots, telling(held.sum(0), hits.sum(0), n, int(y.sum())), before, y, np.ones(n, bool))[0])
         before = np.column_stack([before, oof])
     return Chain(models)
 
@@ -178,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     once = {}
     for doc, own, q, t in zip(*(rows.column(c) for c in ("doc_id", "slots", "quality", "toxic")), strict=True):
         own = own.values.to_numpy()
-        once[doc.as_py(), q.as_py(), t.as_py(), own.tobytes()] = own
+        once[doc.as_py(), q.as_py(), t.as_py(), xxhash.xxh3_128_digest(own)] = own
     order = sorted(once)
     y = np.array([[q == 0, q == 0 and t == 1, t == 1] for _, q, t, _ in order], int).reshape(-1, len(CATEGORIES))
     return fit_chain([once[k] for k in order], y)
