@@ -25,6 +25,11 @@ def witten_bell(count: Column, total: Column, kinds: Column, below: Column) -> C
     return F.when(total > 0, weight * count / total + (1 - weight) * below).otherwise(below)
 
 
+def bernoulli(outcome: Column, p: Column) -> Column:
+    """Probability of an outcome that is true with ``p``."""
+    return F.when(outcome, p).otherwise(1 - p)
+
+
 def pmi(joint: Column, a: Column, b: Column, total: Column) -> Column:
     return F.log2(joint * total / (a * b))
 
