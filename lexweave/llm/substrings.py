@@ -23,11 +23,13 @@ the corpus, so each stays at about ``SHARD_BYTES`` of text.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -242,8 +244,8 @@ def _shared_anchors(rows: pa.Table, shards: int) -> pa.Table:
     return _table(SHARED, bucket=buckets, docs=docs, h=hs)
 
 
-STRETCHES = pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("h", pa.binary()), ("places", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
-REPEATED = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("places", pa.binary())])
+STRETCHES = pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("h", pa.binary()), ("places", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary()), ("tags", pa.binary())])
+REPEATED = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("places", pa.binary()), ("tags", pa.binary())])
 CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
@@ -270,19 +272,26 @@ def _same(h: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _tags(ids: list[int], texts: list[bytes]) -> np.ndarray:
+    """0 for a text that is the only one of its id; else a hash of the text, which tells it from the others."""
+    several = Counter(ids)
+    return np.array([xxhash.xxh3_64_intdigest(t) >> 1 | 1 if several[i] > 1 else 0 for i, t in zip(ids, texts, strict=True)], np.int64)
+
+
 def _stretches(docs: pa.Table, shared: pa.Table, shards: int) -> pa.Table:
     """The stretches of a bucket's shared anchors; what a smaller id of the bucket repeats is settled here."""
     long = [(i, t) for i, t in zip(docs.column("doc_id").to_pylist(), map(_data, docs.column("text")), strict=True) if len(t) >= LENGTH]
     if not long or not shared.num_rows:
         return STRETCHES.empty_table()
     ids, texts = np.array([i for i, _ in long]), [t for _, t in long]
+    tags = _tags(ids.tolist(), texts)
     h, n, first, last = _found(texts)
     keep = np.isin(_pair(ids[n], h), _pair(_unzip_ints(shared.column("docs")), np.frombuffer(b"".join(shared.column("h").to_pylist()), np.uint64)))
     h, n, first, last = h[keep], n[keep], first[keep], last[keep]
     base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     sizes = last - first + LENGTH
     rows = _padded(np.frombuffer(b"".join(texts), np.uint8), base[n] + first, sizes)
-    same, doc = _same(h, rows, sizes), ids[n]
+    same, doc, tag = _same(h, rows, sizes), ids[n], tags[n]
     least = np.full(same.max(initial=-1) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, same, doc)
     gone = doc > least[same]
@@ -290,14 +299,14 @@ def _stretches(docs: pa.Table, shared: pa.Table, shards: int) -> pa.Table:
     own = _shard(h[i], shards)
     by = np.argsort(own, kind="stable")
     i, parts = i[by], _parts(own[by])
-    out: list[list] = [[], [], [], [], [], []]
+    out: list[list] = [[], [], [], [], [], [], []]
     for k, a, b in parts:
         j = i[a:b]
         inside = np.arange(LONGEST) < sizes[j][:, None]
-        for col, v in zip(out, (k, _zip_ints(doc[j]), h[j].tobytes(), _zip_ints(first[j]), _zip(sizes[j].astype(np.uint8).tobytes()), _zip(rows[j][inside].tobytes())), strict=True):
+        for col, v in zip(out, (k, _zip_ints(doc[j]), h[j].tobytes(), _zip_ints(first[j]), _zip(sizes[j].astype(np.uint8).tobytes()), _zip(rows[j][inside].tobytes()), _zip_ints(tag[j])), strict=True):
             col.append(v)
-    buckets, runs, places = _dealt_runs(doc[gone], first[gone], last[gone], shards)
-    settled = _table(STRETCHES, part=[shards + k for k in buckets], docs=runs, places=places)
+    buckets, runs, places, marks = _dealt_runs(doc[gone], tag[gone], first[gone], last[gone], shards)
+    settled = _table(STRETCHES, part=[shards + k for k in buckets], docs=runs, places=places, tags=marks)
     return pa.concat_tables([_table(STRETCHES, **dict(zip(STRETCHES.names, out, strict=True))), settled])
 
 
@@ -307,21 +316,21 @@ def _pair(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     return h ^ x ^ (x >> np.uint64(29))
 
 
-def _dealt_runs(doc: np.ndarray, first: np.ndarray, last: np.ndarray, buckets: int) -> tuple[list[int], list[bytes], list[bytes]]:
-    """(bucket, documents, pairs of first and last window) for the buckets of these documents."""
+def _dealt_runs(doc: np.ndarray, tag: np.ndarray, first: np.ndarray, last: np.ndarray, buckets: int) -> tuple[list[int], list[bytes], list[bytes], list[bytes]]:
+    """(bucket, documents, pairs of first and last window, tags) for the buckets of these documents."""
     own = buckets_of(doc, buckets)
-    by = np.lexsort((first, doc, own))
-    doc, pairs, parts = doc[by], np.column_stack([first[by], last[by]]), _parts(own[by])
-    return [k for k, _, _ in parts], [_zip_ints(doc[a:b]) for _, a, b in parts], [_zip(pairs[a:b].tobytes()) for _, a, b in parts]
+    by = np.lexsort((first, tag, doc, own))
+    doc, tag, pairs, parts = doc[by], tag[by], np.column_stack([first[by], last[by]]), _parts(own[by])
+    return [k for k, _, _ in parts], [_zip_ints(doc[a:b]) for _, a, b in parts], [_zip(pairs[a:b].tobytes()) for _, a, b in parts], [_zip_ints(tag[a:b]) for _, a, b in parts]
 
 
 def _repeated_windows(rows: pa.Table, shards: int) -> pa.Table:
     """A shard's windows that a smaller id repeats, for the buckets of the documents that lose them."""
     part = rows.column("part")[0].as_py()
     if part >= shards:
-        return _table(REPEATED, bucket=[part - shards] * rows.num_rows, docs=rows.column("docs").to_pylist(), places=rows.column("places").to_pylist())
+        return _table(REPEATED, bucket=[part - shards] * rows.num_rows, docs=rows.column("docs").to_pylist(), places=rows.column("places").to_pylist(), tags=rows.column("tags").to_pylist())
     h = np.frombuffer(b"".join(rows.column("h").to_pylist()), np.uint64)
-    doc, first = _unzip_ints(rows.column("docs")), _unzip_ints(rows.column("places"))
+    doc, tag, first = (_unzip_ints(rows.column(c)) for c in ("docs", "tags", "places"))
     sizes, text = _unzip(rows.column("sizes"), np.uint8), _unzip(rows.column("bytes"), np.uint8)
     sizes = sizes.astype(np.int64)
     rows_ = _padded(text, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
@@ -329,7 +338,7 @@ def _repeated_windows(rows: pa.Table, shards: int) -> pa.Table:
     least = np.full(same.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, same, doc)
     gone = doc > least[same]
-    found = [(doc[gone], first[gone], first[gone] + sizes[gone] - LENGTH)]
+    found = [(doc[gone], tag[gone], first[gone], first[gone] + sizes[gone] - LENGTH)]
     one = np.unique(same, return_index=True)[1]  # a stretch of each content, in order of the anchors
     cut = _groups(h[one])
     ends = np.repeat(np.diff(cut) > 1, np.diff(cut))
@@ -352,9 +361,9 @@ def _repeated_windows(rows: pa.Table, shards: int) -> pa.Table:
         low, high = np.searchsorted(same[holders], content, "left"), np.searchsorted(same[holders], content, "right")
         k = np.repeat(np.arange(len(content)), high - low)
         who = holders[np.arange(len(k)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[k]]
-        found.append((doc[who], first[who] + a[k], first[who] + b[k]))
-    buckets, docs, places = _dealt_runs(*(np.concatenate(z) for z in zip(*found, strict=True)), shards)
-    return _table(REPEATED, bucket=buckets, docs=docs, places=places)
+        found.append((doc[who], tag[who], first[who] + a[k], first[who] + b[k]))
+    buckets, docs, places, marks = _dealt_runs(*(np.concatenate(z) for z in zip(*found, strict=True)), shards)
+    return _table(REPEATED, bucket=buckets, docs=docs, places=places, tags=marks)
 
 
 def _window_groups(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -376,16 +385,20 @@ def _window_groups(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
 
 def _cut(docs: pa.Table, repeated: pa.Table) -> pa.Table:
     """The documents of a bucket without the windows that are repeats."""
-    who = _unzip_ints(repeated.column("docs"))
+    who, marks = _unzip_ints(repeated.column("docs")), _unzip_ints(repeated.column("tags"))
     runs = _unzip(repeated.column("places"), np.int64).reshape(-1, 2)
     order = np.argsort(who, kind="stable")
-    who, runs = who[order], runs[order]
+    who, marks, runs = who[order], marks[order], runs[order]
     out: list[list] = [[], [], [], []]
-    for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text"), strict=True):
-        data = left = _data(text)
-        n, removed, spans = len(data), 0, 0
-        own = runs[:0] if doc is None else runs[np.searchsorted(who, doc, "left") : np.searchsorted(who, doc, "right")]
-        own = own[own[:, 1] + LENGTH <= n]
+    ids, texts = docs.column("doc_id").to_pylist(), list(map(_data, docs.column("text")))
+    long = [k for k, t in enumerate(texts) if len(t) >= LENGTH]
+    tags = dict(zip(long, _tags([ids[k] for k in long], [texts[k] for k in long]).tolist(), strict=True))
+    for k, (doc, data) in enumerate(zip(ids, texts, strict=True)):
+        left, n, removed, spans = data, len(data), 0, 0
+        own = runs[:0]
+        if doc is not None and k in tags:
+            a, b = np.searchsorted(who, doc, "left"), np.searchsorted(who, doc, "right")
+            own = runs[a:b][marks[a:b] == tags[k]]
         if len(own):
             step = np.zeros(n + 1, np.int64)
             np.add.at(step, own[:, 0], 1)
@@ -407,10 +420,9 @@ def _whole_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary: the bytes that stay) for every row of ``docs``.
 
-    Null texts are empty ones. Rows that repeat an id are equal in rank: they do not remove each other's
-    bytes; their texts should be equal, as what one repeats is cut from all where it lies inside them. A row
-    with a null id loses nothing and removes nothing. Other columns are not read. An empty table gives an
-    empty result.
+    Null texts are empty ones. Rows that repeat an id are equal in rank, whether their texts are equal or not:
+    they do not remove each other's bytes, and each loses what it itself repeats. A row with a null id loses
+    nothing and removes nothing. Other columns are not read. An empty table gives an empty result.
     """
     slim = docs.select(as_kind(docs, id_col, "doc_id", "bigint"), as_kind(docs, text_col, "text", "string"))
     named = slim.where("doc_id is not null")
@@ -419,8 +431,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dealt = named.select("doc_id", "text", bucket).groupBy("bucket")
     anchors = named.mapInArrow(partial(_anchor_batches, shards=shards), "part long, docs binary, h binary, several binary")
     shared = anchors.groupBy("part").applyInArrow(_with(_shared_anchors, shards), "bucket long, docs binary, h binary")
-    found = dealt.cogroup(shared.groupBy("bucket")).applyInArrow(_with(_stretches, shards), "part long, docs binary, h binary, places binary, sizes binary, bytes binary")
-    repeated = found.groupBy("part").applyInArrow(_with(_repeated_windows, shards), "bucket long, docs binary, places binary")
+    found = dealt.cogroup(shared.groupBy("bucket")).applyInArrow(_with(_stretches, shards), "part long, docs binary, h binary, places binary, sizes binary, bytes binary, tags binary")
+    repeated = found.groupBy("part").applyInArrow(_with(_repeated_windows, shards), "bucket long, docs binary, places binary, tags binary")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     cut = dealt.cogroup(repeated.groupBy("bucket")).applyInArrow(_cut, out)
     return cut.unionByName(slim.where("doc_id is null").mapInArrow(_whole_batches, out))

@@ -3,13 +3,16 @@
 The symbols are small numbers (bytes and separators), so a bucket holds many suffixes and every step of
 the induction works on whole arrays: the suffixes that a bucket induces are appended, in order, to the
 buckets of their first symbols. The time is linear in the text. Leftmost-smaller substrings are sorted by
-the same induction; where they repeat, their names are ranked by doubling, as names are too many for buckets.
+the same induction; where they repeat, their names are a shorter text whose suffix array ranks them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Names up to which a level of the recursion has a bucket for each; places between two whole comparisons.
+BUCKETS, GAP = 512, 16
+
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True for suffixes that are smaller than the next one; the last symbol is the unique smallest."""
@@ -81,8 +84,8 @@ def _names(s: np.ndarray, starts: np.ndarray, order: np.ndarray) -> np.ndarray:
     return names
 
 
-def _ranked(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of ``names``."""
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of ``names`` by doubling."""
     rank, n, k = names, len(names), 1
     while True:
         key = rank * (n + 1)
@@ -96,6 +99,23 @@ def _ranked(names: np.ndarray) -> np.ndarray:
         k *= 2
 
 
+def _recursed(names: np.ndarray, above: int) -> np.ndarray:
+    """The order of the suffixes of ``names``, by their own suffix array.
+
+    More than BUCKETS names are written as two digits each: suffixes at even places are then in the names'
+    order. A level that would not be shorter than the ``above`` symbols before it, as where every second one
+    begins a leftmost-smaller substring, is ranked by doubling.
+    """
+    most = int(names.max()) + 1
+    if most <= BUCKETS:
+        return suffix_array(names)
+    base = int(np.ceil(np.sqrt(most)))
+    if base > np.iinfo(np.uint16).max - 2 or 2 * len(names) > 0.9 * above:
+        return _doubled(names)
+    array = suffix_array(np.column_stack([names // base, names % base]).ravel())
+    return array[array % 2 == 0] // 2
+
+
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Starts of all suffixes of ``symbols`` (small numbers from 0) in lexical order; a suffix sorts before its extensions."""
     if not len(symbols):
@@ -116,21 +136,34 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     order = order[order >= 0]
     names = _names(s, starts, order)
     if names[order[-1]] != len(starts) - 1:
-        order = _ranked(names)
+        order = _recursed(names, len(s))
     return _induce(s, small, k, by_symbol(starts[order]))[1:]
 
 
 def common_prefixes(symbols: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
-    """By place in the text: symbols that a suffix shares with the one before it in ``array``, counted up to ``most``; 0 for the first."""
+    """Permuted common prefixes: by place in the text, symbols that a suffix shares with the one before it in ``array``, up to ``most``; 0 for the first.
+
+    One place in GAP is compared from its first symbol on. From one place to the next the number falls by one
+    at most, so every other place begins where the last such one leaves it.
+    """
     n = len(symbols)
-    padded = np.concatenate([symbols.astype(np.int32), np.full(most, -1, np.int32)])
-    out = np.zeros(n, np.int64)
-    a, b = array[:-1], array[1:]
-    active = np.arange(len(a))
-    for k in range(most):
-        if not len(active):
-            break
-        x = padded[a[active] + k]
-        active = active[(x == padded[b[active] + k]) & (x >= 0)]
-        out[b[active]] = k + 1
-    return out
+    padded = np.concatenate([symbols.astype(np.int32), np.full(most + GAP + 1, -1, np.int32)])
+    before = np.full(n, -1)
+    before[array[1:]] = array[:-1]
+
+    def compared(at: np.ndarray, shared: np.ndarray, cap: int) -> np.ndarray:
+        active = np.flatnonzero(shared < cap)
+        while len(active):
+            i, k = at[active], shared[active]
+            x = padded[i + k]
+            active = active[(x == padded[before[i] + k]) & (x >= 0)]
+            shared[active] += 1
+            active = active[shared[active] < cap]
+        return shared
+
+    out, places = np.zeros(n, np.int64), np.arange(n)
+    first = places[(places % GAP == 0) & (before >= 0)]
+    out[first] = compared(first, np.zeros(len(first), np.int64), most + GAP)
+    rest = places[(places % GAP > 0) & (before >= 0)]
+    out[rest] = compared(rest, np.maximum(out[rest - rest % GAP] - rest % GAP, 0), most)
+    return np.minimum(out, most)

@@ -108,6 +108,31 @@ def test_substrings(spark, small, docs):
     assert {r[0]: tuple(r[1:]) for r in substrings.query(spark, small).collect()} == want
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(2)
+    p, q, r = ("".join(map(chr, rng.integers(97, 123, 300))) for _ in range(3))
+    rows = [(1, p), (2, "lead " + p), (2, q), (2, q), (3, q[100:] + r), (3, r + p[:80]), (3, ""), (None, p), (4, r[:49] + "é" + r[49:]), (5, None)]
+    got = [tuple(x) for x in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = []
+    for doc, text in rows:
+        b = (text or "").encode()
+        known = {o[k : k + 50] for d, t in rows if d is not None and doc is not None and d < doc for o in [(t or "").encode()] for k in range(len(o) - 49)}
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 49):
+            if b[k : k + 50] in known:
+                gone[k : k + 50] = True
+        want.append((doc, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), np.frombuffer(b, np.uint8)[~gone].tobytes()))
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("kind", ["few", "many", "periodic", "alternating"])
+def test_suffix_array_of_long_texts(kind):
+    rng = np.random.default_rng(4)
+    s = {"few": rng.integers(0, 2, 20_000), "many": np.tile(rng.integers(0, 250, 4000), 5), "periodic": np.tile([1, 2, 0], 5000), "alternating": np.tile([1, 0], 6000)}[kind]
+    raw = bytes(s.astype(np.uint8))
+    assert suffixarray.suffix_array(s).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+
+
 def test_buckets_are_those_of_spark(spark):
     ids = [0, 1, -1, 17, 1 << 62, -(1 << 63)]
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(F.pmod(F.xxhash64("i"), F.lit(97).cast("long"))).collect()]
