@@ -104,7 +104,7 @@ def read_dtra(spark: SparkSession, path: str) -> DataFrame:
     metas = F.regexp_extract_all("text", F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
     meta = F.map_from_entries(F.filter(F.transform(metas, lambda m: F.struct(attribute(m, "name").alias("key"), attribute(m, "content").alias("value"))), lambda e: e["key"].isNotNull()))
     body = F.coalesce(inner(F.col("text"), "body"), F.col("text"))
-    paragraphs = F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1)), without_tags)
+    paragraphs = F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1)), lambda x: F.regexp_replace(without_tags(x), r"\s+", " "))
     return _raw(spark, path).select("doc_id", F.when(F.size(paragraphs) > 0, F.array_join(paragraphs, "\n")).otherwise(without_tags(body)).alias("text"), meta.alias("meta"))
 
 
