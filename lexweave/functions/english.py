@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import Column
@@ -197,6 +198,54 @@ def number_of(text: str) -> int:
     return total + group
 
 
+# --- dates
+
+WEEKDAYS = {w: n for n, w in enumerate("monday tuesday wednesday thursday friday saturday sunday".split())}
+MONTHS = {w: n for n, w in enumerate("january february march april may june july august september october november december".split(), 1)}
+UNITS = "days? weeks? months? years?".split()
+RELATIVE = re.compile(rf"(?i)\b(?:(today|yesterday|tomorrow)|(last|next|this)\s+({'|'.join([*WEEKDAYS, *MONTHS, 'week', 'month', 'year'])})|((?:[\w-]+\s)?[\w-]+)\s+({'|'.join(UNITS)})\s+(ago|later)|on\s+({'|'.join(WEEKDAYS)}))\b")
+
+
+def _month(year: int, month: int) -> str:
+    return f"{year + (month - 1) // 12:04d}-{(month - 1) % 12 + 1:02d}"
+
+
+def relative_dates(text: str, day: date) -> list[tuple[int, int, str]]:
+    """(start, end, TIMEX) of expressions such as *last Tuesday* or *three weeks ago*, seen from ``day``."""
+    out = []
+    for m in RELATIVE.finditer(text):
+        plain, way, unit, count, units, side, weekday = (x.lower() if x else x for x in m.groups())
+        start, step = m.start(), {"last": -1, "next": 1, "this": 0}.get(way, 0)
+        if plain:
+            value = (day + timedelta(days={"today": 0, "yesterday": -1, "tomorrow": 1}[plain])).isoformat()
+        elif weekday or unit in WEEKDAYS:
+            back = (day.weekday() - WEEKDAYS[weekday or unit]) % 7
+            value = (day + timedelta(days=7 - back if step > 0 else -(back or 7) if weekday or step < 0 else -back)).isoformat()
+        elif unit in MONTHS:
+            past = MONTHS[unit] < day.month
+            value = _month(day.year + (step if step < 0 and not past else 1 if step > 0 and (past or MONTHS[unit] == day.month) else 0), MONTHS[unit])
+        else:
+            n = step
+            if units:
+                words = count.split()
+                n = number_of(count) if number_of(words[-1]) else 0
+                if len(words) > 1 and not number_of(words[0]):
+                    n, start = number_of(words[-1]), m.start() + m.group(4).index(" ") + 1
+                n = -n if side == "ago" else n
+                if not n:
+                    continue
+            name = (unit or units).rstrip("s")
+            if name == "day":
+                value = (day + timedelta(days=n)).isoformat()
+            elif name == "week":
+                year, week, _ = (day + timedelta(weeks=n)).isocalendar()
+                value = f"{year}-W{week:02d}"
+            else:
+                value = _month(day.year, day.month + n) if name == "month" else f"{day.year + n:04d}"
+        out.append((start, m.end(), value))
+    return out
+
+
 # --- stems
 
 

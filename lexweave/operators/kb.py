@@ -42,6 +42,24 @@ def closure(parents: DataFrame) -> DataFrame:
         size = new
 
 
+def common_ancestors(parents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, ancestor, steps``: the nearest common ancestor of pairs of nodes, themselves included; ties to the smallest."""
+    up = closure(parents)
+    nodes = parents.select(F.explode(F.array("id", "parent")).alias("id")).where("id is not null").distinct()
+    known = up.unionByName(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")))
+    a, b = (known.select(F.col("id").alias(k), "ancestor", F.col("depth").alias(f"d_{k}")) for k in ("a", "b"))
+    met = pairs.select("a", "b").distinct().join(a, "a").join(b, ["b", "ancestor"])
+    best = F.min(F.struct((F.col("d_a") + F.col("d_b")).alias("steps"), "ancestor"))
+    return met.groupBy("a", "b").agg(best.alias("n")).select("a", "b", "n.ancestor", "n.steps")
+
+
+def linked_mentions(mentions: DataFrame) -> DataFrame:
+    """``mention_id, linked``: names of a document and type with equal head words are one thing, named by its first; a pronoun or description is the last name of its type before it."""
+    name = F.when(F.col("mention_type") == "NAME", F.min("mention_id").over(Window.partitionBy("doc_id", "type", "headword", "mention_type")))
+    before = Window.partitionBy("doc_id", "type").orderBy("mention_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return mentions.withColumn("_name", name).select("mention_id", F.coalesce(F.last("_name", ignorenulls=True).over(before), F.col("mention_id")).alias("linked"))
+
+
 def either_join(left: DataFrame, right: DataFrame, one: str, other: str, key: str) -> DataFrame:
     """``left`` joined with ``right`` where either of two columns equals ``key``: two joins by key.
 
@@ -101,6 +119,19 @@ def _q_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure(edges).groupBy("ancestor", "depth").agg(F.count("*").alias("n"))
 
 
+def _q_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    edges = nation.select(F.col("n_name").alias("id"), (F.col("n_regionkey") + 100).cast("string").alias("parent")).unionByName(region.select((F.col("r_regionkey") + 100).cast("string").alias("id"), F.lit("world").alias("parent")))
+    pairs = nation.select(F.col("n_name").alias("a"), (F.col("n_nationkey") % 5).alias("k")).join(nation.select(F.col("n_name").alias("b"), (F.col("n_nationkey") % 5).alias("k")), "k").where("a <= b")
+    return common_ancestors(edges, pairs)
+
+
+def _q_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexweave.plans.derived import annotation_tables
+
+    return linked_mentions(annotation_tables(spark, sf_dir)["mention"].groupBy("mention_id", "doc_id", "mention_type", "headword").agg(F.min("type").alias("type")))
+
+
 def _q_either(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 25).cast("int").alias("other_key"))
     c = c.unionByName(c.where("c_custkey % 7 = 0"))
@@ -164,7 +195,7 @@ def _q_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["p_brand", "p_type"]).where("a < b").withColumn("score", F.round(score, 6)).where("score >= 0.9").select("a", "b", "score")
 
 
-QUERIES = {"validity_join": _q_valid, "nested_set_ancestors": _q_nested, "parent_chain": _q_chain, "either_join": _q_either, "largest_per_group": _q_best, "average_duplicates": _q_average, "in_union": _q_in_union, "left_join": _q_left, "three_way_join": _q_three, "name_suffix": _q_suffix, "limit_offset": _q_page, "row_update": _q_update, "insert_missing": _q_insert, "density_check": _q_dense, "alias_self_join": _q_alias}
+QUERIES = {"validity_join": _q_valid, "nested_set_ancestors": _q_nested, "parent_chain": _q_chain, "either_join": _q_either, "common_ancestors": _q_common, "mention_linking": _q_linked, "largest_per_group": _q_best, "average_duplicates": _q_average, "in_union": _q_in_union, "left_join": _q_left, "three_way_join": _q_three, "name_suffix": _q_suffix, "limit_offset": _q_page, "row_update": _q_update, "insert_missing": _q_insert, "density_check": _q_dense, "alias_self_join": _q_alias}
 ORACLE_SQL = {
     "validity_join": "SELECT c_custkey, c_name, o_orderkey FROM customer JOIN (SELECT o_custkey, o_orderkey, o_orderdate::DATE AS s, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate::DATE + 400 END AS e FROM orders) ON c_custkey = o_custkey WHERE s < DATE '1998-06-01' AND (e IS NULL OR e > DATE '1998-06-01')",
     "nested_set_ancestors": """WITH n AS (SELECT r_name AS id, r_regionkey * 100 AS l, r_regionkey * 100 + 99 AS r FROM region UNION ALL SELECT n_name, n_regionkey * 100 + 1 + 2 * n_nationkey, n_regionkey * 100 + 2 + 2 * n_nationkey FROM nation)
@@ -172,6 +203,10 @@ ORACLE_SQL = {
     "parent_chain": """WITH RECURSIVE e AS (SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS parent FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
         t AS (SELECT id, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT t.id, e.parent, depth + 1 FROM t JOIN e ON e.id = t.ancestor)
         SELECT ancestor, depth, count(*) AS n FROM t GROUP BY 1, 2""",
+    "common_ancestors": """WITH n AS (SELECT n_name AS id, (n_regionkey + 100)::VARCHAR AS p, n_nationkey % 5 AS k FROM nation) SELECT x.id AS a, y.id AS b, CASE WHEN x.id = y.id THEN x.id WHEN x.p = y.p THEN x.p ELSE 'world' END AS ancestor,
+        CASE WHEN x.id = y.id THEN 0 WHEN x.p = y.p THEN 2 ELSE 4 END AS steps FROM n x JOIN n y USING (k) WHERE x.id <= y.id""",
+    "mention_linking": """WITH m AS (SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey % 1000 AS i, l_orderkey AS doc, min(l_returnflag) AS t, l_linenumber % 3 = 1 AS nm, l_partkey % 50 AS h FROM lineitem GROUP BY ALL),
+        n AS (SELECT *, CASE WHEN nm THEN min(i) OVER (PARTITION BY doc, t, h, nm) END AS k FROM m) SELECT i AS mention_id, coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY doc, t ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), i) AS linked FROM n""",
     "either_join": "SELECT c_custkey, n_name FROM (SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_custkey % 7 = 0) JOIN nation ON c_nationkey = n_nationkey OR c_custkey % 25 = n_nationkey",
     "largest_per_group": "SELECT c_nationkey, c_custkey, c_name, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey DESC) = 1",
     "average_duplicates": "SELECT p_name, trunc(avg(p_size))::BIGINT AS size, count(*) AS n FROM part GROUP BY 1",

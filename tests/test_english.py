@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 import pytest
 
 from lexweave.functions import english
@@ -62,3 +64,14 @@ def test_prose():
 )
 def test_phone_numbers(text, want):
     assert [p[2] for p in phone_numbers(bracketed(text))] == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("We met yesterday.", ["2004-07-08"]), ("last Tuesday and next Friday", ["2004-07-06", "2004-07-16"]), ("three weeks ago", ["2004-W25"]), ("two months later", ["2004-09"]), ("last year", ["2003"]), ("next month", ["2004-08"]),
+        ("last July", ["2003-07"]), ("this March", ["2004-03"]), ("on Monday", ["2004-07-05"]), ("some days ago", []), ("about 10 days ago", ["2004-06-29"]), ("nothing", []),
+    ],
+)
+def test_relative_dates(text, want):
+    assert [v for _, _, v in english.relative_dates(text, date(2004, 7, 9))] == want
