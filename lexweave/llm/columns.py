@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import ctypes
+import functools
+import gc
+import sys
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +29,19 @@ def sheltered(docs: DataFrame, kept: Iterable[str] = ("doc_id", "text", "n_chars
 def as_kind(docs: DataFrame, column: str, name: str, kind: str) -> Column:
     """A column of this name and type; bare where it is so already, as an alias keeps Spark from seeing that two exchanges are one."""
     return F.col(column) if column == name and docs.schema[column].dataType.simpleString() == kind else F.col(column).cast(kind).alias(name)
+
+
+def trimmed(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``work`` on batches that gives back to the system what it no longer needs: Python workers are used again, and would keep it."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch], **options) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches, **options)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform.startswith("linux"):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run

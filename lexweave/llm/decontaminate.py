@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.columns import replaced
+from lexweave.llm.columns import replaced, trimmed
 from lexweave.session import table, written
 
 MIN_TILE, THRESHOLD = 5, 0.6
@@ -166,6 +166,7 @@ def tiled(a: np.ndarray, b: np.ndarray) -> int:
 _KEPT: dict[str, Block] = {}
 
 
+@trimmed
 def _tile_batches(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], name: str, threshold: float) -> Iterator[pa.RecordBatch]:
     if name not in _KEPT:
         _KEPT.clear()

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.llm.columns import trimmed
 from lexweave.session import table
 
 #: Elements that begin and end blocks.
@@ -346,6 +347,7 @@ def main_text(page: str | None) -> str:
     return "\n".join(b.text for b, keep in zip(blocks, label(blocks), strict=True) if keep)
 
 
+@trimmed
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = [main_text(x.as_py()) for x in b.column(2)]

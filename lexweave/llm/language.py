@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.llm.columns import trimmed
 from lexweave.session import table
 
 DIMENSIONS = 512
@@ -57,6 +58,7 @@ def trigrams(text: str | None) -> np.ndarray:
     return (x[:-2] * ALPHABET + x[1:-1]) * ALPHABET + x[2:]
 
 
+@trimmed
 def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for b in batches:
@@ -87,6 +89,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
     return [x for x, k in zip(langs, known, strict=True) if k], out[known] / norms[known]
 
 
+@trimmed
 def _predict_batches(batches: Iterator[pa.RecordBatch], langs: list[str], prototypes: np.ndarray) -> Iterator[pa.RecordBatch]:
     prototypes = prototypes.astype(np.float32)
     for b in batches:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.columns import as_kind, replaced
+from lexweave.llm.columns import as_kind, replaced, trimmed
 from lexweave.operators.skew import hot_join
 from lexweave.session import durable, table
 
@@ -86,6 +86,7 @@ def repeatable(text: str | None) -> dict[bytes, str]:
     return {xxhash.xxh3_128_digest(_bytes(c)): c for _, _, c in chunks(text or "") if multi_line(c)}
 
 
+@trimmed
 def _name_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, names = [], []
@@ -96,6 +97,7 @@ def _name_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.binary())], ["doc_id", "name"])
 
 
+@trimmed
 def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The chunks of the names in ``_names``, one of each content in a batch."""
     for b in batches:
@@ -120,6 +122,7 @@ def strip(text: str | None, gone: set[bytes]) -> tuple[str | None, int]:
     return ("\n".join(left) if n else text), n
 
 
+@trimmed
 def _strip_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``text`` and ``_gone`` (names of chunks to remove) become ``text``, ``_lines`` and ``_lost``."""
     for b in batches:

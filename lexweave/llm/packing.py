@@ -23,6 +23,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexweave.llm.columns import trimmed
 from lexweave.llm.tokens import encoder
 from lexweave.session import durable, table
 
@@ -33,6 +34,7 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 TOKENIZER = "byte_bpe_50k.json"
 
 
+@trimmed
 def _cut_batches(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa.RecordBatch]:
     encode = encoder(path)
     for b in batches:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.llm.columns import trimmed
 from lexweave.session import table
 
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -86,6 +87,7 @@ def scan(text: str | None, keys: ahocorasick.Automaton) -> list[tuple[str, int,
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
+@trimmed
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = automaton()
     for b in batches:

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexweave.llm.columns import trimmed
 from lexweave.operators.graph import connected_components
 from lexweave.operators.skew import hot_join
 from lexweave.session import durable, shuffle_partitions, table
@@ -52,12 +53,14 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * set_ > len(hashes), bitorder="little").view("<u8")[0])
 
 
+@trimmed
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
 
+@trimmed
 def _mark_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All columns and the fingerprint of ``text``."""
     for b in batches:
@@ -103,6 +106,7 @@ def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
+@trimmed
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, fp) in order of key to edges (a, b, null); members of groups that are too large to rows (fp, null, key)."""
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.columns import as_kind
+from lexweave.llm.columns import as_kind, trimmed
 from lexweave.llm.suffixarray import common_prefixes, suffix_array
 from lexweave.session import table
 
@@ -208,6 +208,7 @@ def _dealt_anchors(doc: np.ndarray, h: np.ndarray, buckets: int) -> tuple[list[i
     return [k for k, _, _ in parts], [_zip_ints(doc[a:b]) for _, a, b in parts], [h[a:b].tobytes() for _, a, b in parts]
 
 
+@trimmed
 def _anchor_batches(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """Anchors for their shards; those that several documents of a unit share are settled here."""
     for ids, texts in _units(batches):
@@ -412,6 +413,7 @@ def _cut(docs: pa.Table, repeated: pa.Table) -> pa.Table:
     return pa.table([docs.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], schema=CUT)
 
 
+@trimmed
 def _whole_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield from _cut(pa.table(b), REPEATED.empty_table()).to_batches()

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -36,23 +36,32 @@ def byte_of() -> dict[str, int]:
 
 class Encoder:
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder()
+        self.path = path
+        tokenizer = self._tokenizer()
+        added = tokenizer.get_added_tokens_decoder()
         odd = [rf"[^\x00-\x7f{LETTERS}]", rf"[\t-\r ]{{{LONG_BLANKS}}}", *(re.escape(x.content) for x in added.values())]
         self.odd = re.compile("|".join(odd))
         # no added string may reach over a cut between words
-        self.cuts = self._bytewise() and not any(" " in x.content or x.lstrip or x.rstrip or x.single_word for x in added.values())
-        self.plain = self._plain({n for n in added}) if self.cuts else None
+        self.cuts = self._bytewise(tokenizer) and not any(" " in x.content or x.lstrip or x.rstrip or x.single_word for x in added.values())
+        self.plain = self._plain(tokenizer, {n for n in added}) if self.cuts else None
 
-    def _bytewise(self) -> bool:
-        cut = self.tokenizer.pre_tokenizer
-        return isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space and self.tokenizer.normalizer is None
+    def _tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
 
-    def _plain(self, added: set[int]):
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """Loaded when the first text needs it."""
+        return self._tokenizer()
+
+    def _bytewise(self, tokenizer: Tokenizer) -> bool:
+        cut = tokenizer.pre_tokenizer
+        return isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space and tokenizer.normalizer is None
+
+    def _plain(self, tokenizer: Tokenizer, added: set[int]):
         import tiktoken
 
         byte = byte_of()
-        ranks = {bytes(map(byte.__getitem__, x)): n for x, n in self.tokenizer.get_vocab(with_added_tokens=False).items() if n not in added}
+        ranks = {bytes(map(byte.__getitem__, x)): n for x, n in tokenizer.get_vocab(with_added_tokens=False).items() if n not in added}
         return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def __call__(self, text: str) -> bytes:

@@ -24,10 +24,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.columns import replaced
+from lexweave.llm.columns import replaced, trimmed
 from lexweave.session import table
 
 CATEGORIES = ("junk", "toxic_junk", "toxic")
@@ -155,6 +156,7 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray) -> Chain:
     if not n:
         return Chain()
     rows, slots = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features]), np.concatenate(features)
+    features.clear()
     fold = np.arange(n) % FOLDS
     before, models = np.ones((n, 1)), []
     held = counted(rows, slots, fold, FOLDS)
@@ -170,11 +172,12 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray) -> Chain:
     return Chain(models)
 
 
+@trimmed
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     slots = Slots()
     for b in batches:
-        rows = [slots.of(t.as_py()) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32())), b.column(2), b.column(3)], ["doc_id", "slots", "quality", "toxic"])
+        rows = [zstandard.compress(np.diff(slots.of(t.as_py()), prepend=0).astype("<u4").tobytes(), 3) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()), b.column(2), b.column(3)], ["doc_id", "slots", "quality", "toxic"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Chain:
@@ -187,16 +190,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     by_id = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     sample = by_id.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality", "toxic")
-    rows = slim.mapInArrow(_feature_batches, "doc_id long, slots array<int>, quality int, toxic int").toArrow()
-    once = {}
-    for doc, own, q, t in zip(*(rows.column(c) for c in ("doc_id", "slots", "quality", "toxic")), strict=True):
-        own = own.values.to_numpy()
-        once[doc.as_py(), q.as_py(), t.as_py(), xxhash.xxh3_128_digest(own)] = own
-    order = sorted(once)
-    y = np.array([[q == 0, q == 0 and t == 1, t == 1] for _, q, t, _ in order], int).reshape(-1, len(CATEGORIES))
-    return fit_chain([once[k] for k in order], y)
+    rows = slim.mapInArrow(_feature_batches, "doc_id long, slots binary, quality int, toxic int").toArrow()
+    once = sorted(set(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "quality", "toxic", "slots")), strict=True)))
+    del rows
+    y = np.array([[q == 0, q == 0 and t == 1, t == 1] for _, q, t, _ in once], int).reshape(-1, len(CATEGORIES))
+    return fit_chain([np.cumsum(np.frombuffer(zstandard.decompress(x), "<u4"), dtype=np.int32) for _, _, _, x in once], y)
 
 
+@trimmed
 def _score_batches(batches: Iterator[pa.RecordBatch], fitted: Chain) -> Iterator[pa.RecordBatch]:
     slots = Slots(fitted.telling())
     for b in batches:
