@@ -41,7 +41,8 @@ def trimmed(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iter
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()
-            if sys.platform.startswith("linux"):
-                ctypes.CDLL(None).malloc_trim(0)
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform.startswith("linux") else None
+            if trim:
+                trim(0)
 
     return run
