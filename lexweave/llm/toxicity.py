@@ -34,7 +34,7 @@ from lexweave.session import table
 CATEGORIES = ("junk", "toxic_junk", "toxic")
 REJECTED = "toxic"
 THRESHOLD = 0.3
-MOST_LABELS, SLOTS, FOLDS = 20_000, 1 << 18, 4
+MOST_LABELS, SLOTS, FOLDS = 10_000, 1 << 18, 4
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 MIN_Z, RIDGE, ROUNDS = 4.0, 0.5, 150
@@ -133,10 +133,14 @@ def fit(rows: np.ndarray, slots: np.ndarray, chosen: np.ndarray, dense: np.ndarr
     By accelerated gradient steps, each weight at the step its own curvature allows. ``rows, slots``: the
     features of each row, of which ``chosen`` are used; ``dense``: the bias and the categories before.
     """
-    number = np.full(SLOTS, -1, np.int32)
+    number = np.full(SLOTS, -1, np.int64)
     number[chosen] = np.arange(len(chosen))
-    use = number[slots] >= 0
-    rows, cols, n_words, n = rows[use].astype(np.int64), number[slots[use]].astype(np.int64), len(chosen), len(y)
+    kept: list[list[np.ndarray]] = [[], []]
+    for k in range(0, len(rows), STEP):  # most features are not chosen
+        col = number[slots[k : k + STEP]]
+        kept[0].append(rows[k : k + STEP][col >= 0].astype(np.int64))
+        kept[1].append(col[col >= 0])
+    rows, cols, n_words, n = (*(np.concatenate([np.empty(0, np.int64), *x]) for x in kept), len(chosen), len(y))
     own = inside[rows]
     per_row = (np.bincount(rows, minlength=n) + dense.shape[1]) * inside
     curve = np.concatenate([np.bincount(cols[own], per_row[rows[own]], n_words), (dense**2 * per_row[:, None]).sum(0)]) / 4 + RIDGE
@@ -150,13 +154,12 @@ def fit(rows: np.ndarray, slots: np.ndarray, chosen: np.ndarray, dense: np.ndarr
     return Model(chosen, w[:n_words], w[n_words:]), _sigmoid(np.bincount(rows, w[cols], n) + dense @ w[n_words:])
 
 
-def fit_chain(features: list[np.ndarray], labels: np.ndarray) -> Chain:
-    """``features``: slots of each row; ``labels``: a column of 0 and 1 for each category."""
-    n = len(features)
+def fit_chain(sizes: np.ndarray, slots: np.ndarray, labels: np.ndarray) -> Chain:
+    """``sizes, slots``: the number of slots of each row, and the slots one row after the other; ``labels``: a column of 0 and 1 for each category."""
+    n = len(sizes)
     if not n:
         return Chain()
-    rows, slots = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features]), np.concatenate(features)
-    features.clear()
+    rows = np.repeat(np.arange(n, dtype=np.int32), sizes)
     fold = np.arange(n) % FOLDS
     before, models = np.ones((n, 1)), []
     held = counted(rows, slots, fold, FOLDS)
@@ -194,7 +197,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     once = sorted(set(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "quality", "toxic", "slots")), strict=True)))
     del rows
     y = np.array([[q == 0, q == 0 and t == 1, t == 1] for _, q, t, _ in once], int).reshape(-1, len(CATEGORIES))
-    return fit_chain([np.cumsum(np.frombuffer(zstandard.decompress(x), "<u4"), dtype=np.int32) for _, _, _, x in once], y)
+    # a stored row tells its size, so all rows are unpacked into one array
+    sizes = np.array([zstandard.get_frame_parameters(x).content_size // 4 for _, _, _, x in once], np.int64)
+    slots, at = np.empty(int(sizes.sum()), np.int32), 0
+    for (_, _, _, x), n in zip(once, sizes.tolist(), strict=True):
+        slots[at : at + n] = np.cumsum(np.frombuffer(zstandard.decompress(x), "<u4"))
+        at += n
+    once.clear()
+    return fit_chain(sizes, slots, y)
 
 
 @trimmed
