@@ -3,7 +3,8 @@
 The symbols are small numbers (bytes and separators), so a bucket holds many suffixes and every step of
 the induction works on whole arrays: the suffixes that a bucket induces are appended, in order, to the
 buckets of their first symbols. The time is linear in the text. Leftmost-smaller substrings are sorted by
-the same induction; where they repeat, their names are a shorter text whose suffix array ranks them.
+the same induction; where they repeat, their names are a shorter text whose suffix array ranks them if they
+are few enough for buckets; more names are ranked by doubling, which works on whole arrays at any number.
 """
 
 from __future__ import annotations
@@ -99,21 +100,9 @@ def _doubled(names: np.ndarray) -> np.ndarray:
         k *= 2
 
 
-def _recursed(names: np.ndarray, above: int) -> np.ndarray:
-    """The order of the suffixes of ``names``, by their own suffix array.
-
-    More than BUCKETS names are written as two digits each: suffixes at even places are then in the names'
-    order. A level that would not be shorter than the ``above`` symbols before it, as where every second one
-    begins a leftmost-smaller substring, is ranked by doubling.
-    """
-    most = int(names.max()) + 1
-    if most <= BUCKETS:
-        return suffix_array(names)
-    base = int(np.ceil(np.sqrt(most)))
-    if base > np.iinfo(np.uint16).max - 2 or 2 * len(names) > 0.9 * above:
-        return _doubled(names)
-    array = suffix_array(np.column_stack([names // base, names % base]).ravel())
-    return array[array % 2 == 0] // 2
+def _ranked(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of ``names``: by their own suffix array if a level has a bucket for each name, else by doubling."""
+    return suffix_array(names) if int(names.max()) < BUCKETS else _doubled(names)
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -136,7 +125,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     order = order[order >= 0]
     names = _names(s, starts, order)
     if names[order[-1]] != len(starts) - 1:
-        order = _recursed(names, len(s))
+        order = _ranked(names)
     return _induce(s, small, k, by_symbol(starts[order]))[1:]
 
 
