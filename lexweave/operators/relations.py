@@ -302,7 +302,7 @@ def _q_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _q_pattern_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    out = pattern_scores(li.select(F.col("l_orderkey").alias("instance"), F.col("l_partkey").alias("feature")), part.select(F.col("p_partkey").alias("feature"), ((F.col("p_size") - 25) / 20).alias("weight")), 0.5)
+    out = pattern_scores(li.select(F.col("l_orderkey").alias("instance"), F.col("l_partkey").alias("feature")), part.select(F.col("p_partkey").alias("feature"), ((F.col("p_size") - 25) / 20).alias("weight")), 0.55)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -352,6 +352,6 @@ ORACLE_SQL = {
     "snippet_merging": """WITH m AS (SELECT DISTINCT l_orderkey AS doc_id, (l_partkey * 10 + l_linenumber) * 10000 + l_suppkey AS id, l_linenumber * 2 AS start, (l_linenumber * 2 + trunc(l_quantity))::INT AS e, round(l_discount, 2) AS score FROM lineitem)
         SELECT doc_id, id, start, e AS "end", score FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.doc_id = a.doc_id AND ((b.start <= a.start AND b.e >= a.e AND b.e - b.start + 1 < 1.2 * (a.e - a.start + 1)) OR (a.start <= b.start AND a.e >= b.e AND a.e - a.start + 1 < 1.2 * (b.e - b.start + 1)))
             AND (b.score > a.score OR (b.score = a.score AND b.id < a.id)))""",
-    "pattern_scores": "SELECT l_orderkey AS instance, round(1 / (1 + exp(-sum((p_size - 25) / 20))), 6) AS score FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1 HAVING 1 / (1 + exp(-sum((p_size - 25) / 20))) > 0.5",
+    "pattern_scores": "SELECT l_orderkey AS instance, round(1 / (1 + exp(-sum((p_size - 25) / 20))), 6) AS score FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1 HAVING 1 / (1 + exp(-sum((p_size - 25) / 20))) > 0.55",
     "best_names": f"""WITH {derived.SQL} SELECT entity_id, text AS name FROM mention WHERE entity_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY CASE mention_type WHEN 'NAME' THEN 0 WHEN 'DESC' THEN 1 ELSE 2 END, (mention_id % 7) / 7 DESC, length(text) DESC, mention_id) = 1""",
 }
