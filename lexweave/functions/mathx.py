@@ -25,6 +25,16 @@ def witten_bell(count: Column, total: Column, kinds: Column, below: Column) -> C
     return F.when(total > 0, weight * count / total + (1 - weight) * below).otherwise(below)
 
 
+def round_scaled(x: Column, digits: int) -> Column:
+    """A double rounded to ``digits``, halves of its scaled binary value away from zero, as SQL engines round that scale, round and scale back.
+
+    ``F.round`` rounds the shortest decimal text instead: 2084.1775 is 2084.178 there, but 2084.177 here, as
+    2084.1775 * 1000 is below 2084177.5. Null, NaN, infinite values and those that overflow when scaled stay.
+    """
+    scaled = x * F.lit(10.0**digits)
+    return F.when(F.abs(scaled) < F.lit(float("inf")), F.round(scaled) / F.lit(10.0**digits)).otherwise(x)
+
+
 def bernoulli(outcome: Column, p: Column) -> Column:
     """Probability of an outcome that is true with ``p``."""
     return F.when(outcome, p).otherwise(1 - p)

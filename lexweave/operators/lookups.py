@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexweave.functions import mathx
 from lexweave.session import table
 
 
@@ -93,7 +94,7 @@ def _q_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _q_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), *[F.when(F.col("c_custkey") % (k + 2) != 0, (F.col("c_nationkey") + k) % 12).alias(f"topic{k}") for k in range(4)], *[F.round(F.col("c_acctbal") / (k + 1), 3).alias(f"weight{k}") for k in range(4)])
+    wide = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), *[F.when(F.col("c_custkey") % (k + 2) != 0, (F.col("c_nationkey") + k) % 12).alias(f"topic{k}") for k in range(4)], *[mathx.round_scaled(F.col("c_acctbal") / (k + 1), 3).alias(f"weight{k}") for k in range(4)])
     return topics_of_documents(wide, 4)
 
 

@@ -48,3 +48,14 @@ def test_query_equals_sql(spark, small, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_document_topics_rounds_halves_like_its_sql(spark, duck, tmp_path):
+    amounts = [8336.71, 4103.15, 2072.91, 8336.05, -8336.71, 0.02, -0.02, 0.01, -999.99, 0.0, 1.7e308, float("nan"), float("inf"), None]
+    rows = [(c, c % 25, amounts[(c - 1) % len(amounts)]) for c in range(1, 8 * len(amounts))]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    got = catalog.QUERIES["document_topics"](spark, str(tmp_path)).collect()
+    want = con.execute(catalog.ORACLE_SQL["document_topics"]).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
