@@ -167,6 +167,54 @@ def test_quality(spark, small, docs):
     assert sum(got[i]["kept"] for i in good) >= 0.9 * sum(not got[i]["base_failed"] for i in good)
 
 
+def test_quality_rejects_bad_labels_beside_copies(spark):
+    rng = np.random.default_rng(3)
+    clean, junk = [f"clean{i}" for i in range(300)], [f"junk{i}" for i in range(300)]
+    copy = " ".join(f"copy{i}" for i in range(80))
+    rows = []
+    for i in range(600):
+        kind = "copy" if i % 5 == 0 else "bad" if i % 5 == 1 else "good"
+        words = rng.choice(clean, 80).tolist() if kind == "good" else rng.choice(clean, 56).tolist() + rng.choice(junk, 24).tolist()
+        rows.append((i, copy if kind == "copy" else " ".join(rng.permutation(words)), kind))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    # half of the documents have labels; the others are judged as unseen
+    got = quality.rate(docs, spark.createDataFrame([(i, int(k != "bad")) for i, _, k in rows if i % 2], "doc_id long, quality int"))
+    kept = {r["doc_id"]: r["kept"] for r in got.collect()}
+    for seen in (0, 1):
+        assert sum(kept[i] for i, _, k in rows if k == "bad" and i % 2 == seen) <= 0.05 * 60
+        assert sum(not kept[i] for i, _, k in rows if k != "bad" and i % 2 == seen) <= 0.05 * 240
+    for one in (0, 1):
+        got = quality.rate(docs, spark.createDataFrame([(i, one) for i, _, _ in rows], "doc_id long, quality int"))
+        assert all(r["kept"] != r["base_failed"] for r in got.collect())
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_quality_threshold(seed):
+    rng = np.random.default_rng(seed)
+    good, bad = (Counter(np.round(rng.normal(m, 6, int(rng.integers(0, 400)))).astype(int).tolist()) for m in (seed, -seed))
+    n, m = sum(good.values()), sum(bad.values())
+    most, least = 0.0, -np.inf
+    for cell in range(-60, 61):
+        lost, caught = (sum(v for c, v in counts.items() if c < cell) for counts in (good, bad))
+        if n and m and lost <= quality.GOOD_LOST * n and caught / m - lost / n > 0 and caught / m - lost / n >= most:
+            most, least = caught / m - lost / n, cell * quality.GRID
+    assert quality.threshold(good, bad) == least
+
+
+def test_quality_scores_labels_without_their_fold(spark, small):
+    labels = table(spark, small, "labels")
+    base, sample = quality.rules(table(spark, small, "documents")).select("doc_id", "grams"), quality.trusted_sample(labels)
+    every, held_out = quality.learn(base, sample)
+    grams = {r["doc_id"]: r["grams"] for r in base.collect()}
+    good = {r["doc_id"]: r["fold"] for r in sample.where("quality = 1").select("doc_id", quality._fold().alias("fold")).collect()}
+    assert set(good.values()) == set(range(quality.FOLDS))
+    raw = np.bincount(np.concatenate(list(grams.values())), minlength=quality.BUCKETS) + 1.0
+    for fold in (None, *range(quality.FOLDS)):
+        target = np.bincount(np.concatenate([grams[i] for i, f in good.items() if f != fold]), minlength=quality.BUCKETS) + 1.0
+        got = every if fold is None else held_out[fold * quality.BUCKETS : (fold + 1) * quality.BUCKETS]
+        assert np.allclose(got, np.log(target / target.sum()) - np.log(raw / raw.sum()))
+
+
 def test_language_held_out(spark, small, docs):
     rows = language.query(spark, small).join(spark.createDataFrame(docs[["doc_id", "lang"]]), "doc_id").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
