@@ -5,7 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
-from lexweave.operators import neardup
+import __spark_entry__
+from lexweave.operators import kb, neardup
 
 
 def _bag(text: str) -> Counter:
@@ -48,3 +49,17 @@ def test_near_duplicates_write_one_row_a_document_and_deal_groups_to_blocks(spar
                 want[a, b] = round((x & y).total() / n, 9)
     assert got == want and len(want) > 300
     assert tables["bags"].count() == len(bags)
+
+
+def test_alias_pairs_are_dealt_to_all_cores(spark, small):
+    out = __spark_entry__.queries()["alias_self_join"](spark, small)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_close_pairs(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice("xy"), rnd.choice([None, *range(9)])) for i in range(80)]
+    got = kb.close_pairs(spark.createDataFrame(rows, "id long, g string, z int"), ["g"], "z", 2)
+    want = {(i, j, abs(z - v)) for i, g, z in rows for j, h, v in rows if i < j and g == h and z is not None and v is not None and abs(z - v) <= 2}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
