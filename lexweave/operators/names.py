@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import similarity, tokens
@@ -15,12 +15,15 @@ EQUAL = 0.98
 
 def best_matches(texts: DataFrame, terms: DataFrame, most: int) -> DataFrame:
     """Matches ``id, start, length, term, priority`` of ``terms`` (``term, priority``) in ``id, text`` that no better one overlaps: of a higher priority, then longer, then earlier, then by term."""
-    found = dictionary_matches(texts, terms, most).join(terms.groupBy("term").agg(F.max("priority").alias("priority")), "term")
+    best = terms.groupBy("term").agg(F.max("priority").alias("priority"))
+    found = dictionary_matches(texts, best, most, ("priority",))
     rank = F.struct(-F.col("priority"), -F.col("length"), F.col("start"), F.col("term"))
-    a = found.withColumn("rank", rank)
-    b = a.select(F.col("id").alias("_id"), F.col("start").alias("s"), (F.col("start") + F.col("length")).alias("e"), F.col("rank").alias("r"))
-    beaten = (F.col("id") == F.col("_id")) & (F.col("s") < F.col("start") + F.col("length")) & (F.col("e") > F.col("start")) & (F.col("r") < F.col("rank"))
-    return a.join(b, beaten, "left_anti").select("id", "start", "length", "term", "priority")
+    row = F.struct(F.col("start").alias("s"), (F.col("start") + F.col("length")).alias("e"), rank.alias("r"))
+    # matches that overlap begin within ``most`` tokens of each other: a window, as matches of a small file may be many
+    near = Window.partitionBy("id").orderBy("start").rangeBetween(1 - most, most - 1)
+    better = F.exists("near", lambda x: (x["s"] < F.col("start") + F.col("length")) & (x["e"] > F.col("start")) & (x["r"] < F.col("rank")))
+    seen = found.withColumn("rank", rank).withColumn("near", F.collect_list(row).over(near))
+    return seen.where(~better | F.col("id").isNull()).select("id", "start", "length", "term", "priority")
 
 
 def close_actors(names: DataFrame, actors: DataFrame, equivalents: DataFrame, threshold: float) -> DataFrame:

@@ -11,6 +11,8 @@ from lexweave.session import table
 #: A run of end marks, with a closing quote, ends a sentence where white space follows.
 END = r"([.!?]+[\"']?)[ \t\n\r\f]+"
 HEADER = r"^[A-Z][^.!?]{0,60}$"
+#: Terms that are broadcast at most.
+FEW = 100_000
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -28,11 +30,16 @@ def sections(docs: DataFrame) -> DataFrame:
     return marked.groupBy("doc_id", "section").agg(F.max(F.when(F.col("is_header"), F.col("line"))).alias("header"), F.count_if(~F.col("is_header")).alias("n_lines"))
 
 
-def dictionary_matches(texts: DataFrame, terms: DataFrame, most: int) -> DataFrame:
-    """``id, start, length, term``: runs of up to ``most`` tokens of ``id, text`` that are a ``term``; a plain join by term."""
+def dictionary_matches(texts: DataFrame, terms: DataFrame, most: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, start, length, term``, and columns of the term to keep: runs of up to ``most`` tokens of ``id, text`` that are a ``term``; a join by term.
+
+    At most ``FEW`` terms are broadcast; Spark would judge them by the size of the file that they are made of.
+    """
+    terms = terms.select("term", *keep).distinct()
+    terms = F.broadcast(terms) if terms.limit(FEW + 1).count() <= FEW else terms.hint("merge")
     runs = texts.select("id", tokens(F.lower("text")).alias("w"))
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct((i - 1).alias("start"), n.alias("length"), F.array_join(F.slice("w", i, n), " ").alias("term")))))
-    return runs.select("id", F.explode(spans).alias("s")).select("id", "s.*").join(terms.select("term").distinct(), "term").select("id", "start", "length", "term")
+    return runs.select("id", F.explode(spans).alias("s")).select("id", "s.*").join(terms, "term").select("id", "start", "length", "term", *keep)
 
 
 def without_overlaps(spans: DataFrame, by: str = "id") -> DataFrame:
@@ -40,7 +47,7 @@ def without_overlaps(spans: DataFrame, by: str = "id") -> DataFrame:
     end = F.col("start") + F.col("length")
     a, b = spans.withColumn("end", end), spans.select(by, F.col("start").alias("s2"), F.col("length").alias("l2"), end.alias("e2"))
     better = (F.col("s2") < F.col("end")) & (F.col("e2") > F.col("start")) & ((F.col("l2") > F.col("length")) | ((F.col("l2") == F.col("length")) & (F.col("s2") < F.col("start"))))
-    return a.join(b, (a[by] == b[by]) & better, "left_anti").drop("end")
+    return a.join(b.hint("merge"), (a[by] == b[by]) & better, "left_anti").drop("end")  # spans of a small file may be many
 
 
 def name_similarity_pairs(names: DataFrame, threshold: float, score: Column | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 from collections import Counter
 
 import __spark_entry__
-from lexweave.operators import kb, neardup
+from lexweave.operators import kb, names, neardup, sentences
 
 
 def _bag(text: str) -> Counter:
@@ -63,3 +63,20 @@ def test_close_pairs(spark):
     got = kb.close_pairs(spark.createDataFrame(rows, "id long, g string, z int"), ["g"], "z", 2)
     want = {(i, j, abs(z - v)) for i, g, z in rows for j, h, v in rows if i < j and g == h and z is not None and v is not None and abs(z - v) <= 2}
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_dictionary_matches_are_not_broadcast(spark, monkeypatch):
+    rnd = random.Random(4)
+    texts = [(i % 50 if i else None, " ".join(rnd.choice("abc") for _ in range(9))) for i in range(60)]
+    terms = [("a", 1), ("a b", 1), ("b a", 2), ("c c b", 1), ("b", 3), ("b", 1), ("c a c", 3)]
+    found = []
+    for i, text in texts:
+        w = text.split()
+        found += [(i, s, n, t, p) for t, p in {t: max(q for u, q in terms if u == t) for t, _ in terms}.items() for n in (len(t.split()),) for s in range(len(w) - n + 1) if w[s : s + n] == t.split()]
+    rank = lambda m: (-m[4], -m[2], m[1], m[3])
+    want = [m for m in found if m[0] is None or not any(o[0] == m[0] and o[1] < m[1] + m[2] and o[1] + o[2] > m[1] and rank(o) < rank(m) for o in found)]
+    for few in (100, 2):
+        monkeypatch.setattr(sentences, "FEW", few, raising=False)
+        out = names.best_matches(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(terms, "term string, priority int"), 3)
+        assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+        assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= (few == 100) * 2  # final and first plan
