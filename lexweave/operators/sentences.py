@@ -10,7 +10,7 @@ from lexweave.session import table
 
 #: A run of end marks, with a closing quote, ends a sentence where white space follows.
 END = r"([.!?]+[\"']?)[ \t\n\r\f]+"
-HEADER = r"^[A-Z][^.!?]{0,60}$"
+HEADER = r"^[A-Z][^.!?]{0,60}\z"
 #: Terms that are broadcast at most.
 FEW = 100_000
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import duckdb
+
 import __spark_entry__
 from lexweave.operators import kb, names, neardup, sentences
 
@@ -80,3 +82,12 @@ def test_dictionary_matches_are_not_broadcast(spark, monkeypatch):
         out = names.best_matches(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(terms, "term string, priority int"), 3)
         assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
         assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= (few == 100) * 2  # final and first plan
+
+
+def test_rare_words_with_line_separators_like_their_sql(spark, tmp_path):
+    text = " ".join(w + end for w in ("12", "1234", "AB", "ab", "A.", "Ab", "1") for end in ("", "\u0085", "\u2028", "\u2029", "\u000b", "\u2028x"))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = __spark_entry__.queries()["rare_words"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(__spark_entry__.oracle_sql()["rare_words"]).fetchall())
