@@ -14,8 +14,13 @@ from lexweave.session import table
 
 def token_table(sentences_: DataFrame) -> DataFrame:
     """``doc_id, sent_no, tok_no, token`` by the English tokenizer."""
-    cut = english.udf(english.english_tokens, "array<string>")
-    return sentences_.select("doc_id", "sent_no", F.posexplode(cut(F.col("sentence"))).alias("tok_no", "token"))
+    return sentences_.select("doc_id", "sent_no", F.posexplode(english.udf(english.english_tokens, "array<string>")(F.col("sentence"))).alias("tok_no", "token"))
+
+
+def token_counts(sentences_: DataFrame) -> DataFrame:
+    """``doc_id, sent_no, n, last``: the number of tokens of each sentence and the greatest; counted in its row before sentences of one number meet."""
+    rows = sentences_.select("doc_id", "sent_no", english.udf(english.english_tokens, "array<string>")(F.col("sentence")).alias("t"))
+    return rows.select("doc_id", "sent_no", F.size("t").alias("n"), F.array_max("t").alias("last")).groupBy("doc_id", "sent_no").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
 
 def rule_sentences(docs: DataFrame) -> DataFrame:
@@ -138,8 +143,7 @@ def _q_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = token_table(sentences(table(spark, sf_dir, "documents")))
-    return t.groupBy("doc_id", "sent_no").agg(F.count("*").alias("n"), F.max("token").alias("last"))
+    return token_counts(sentences(table(spark, sf_dir, "documents")))
 
 
 def _q_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 from collections import Counter
 
 import duckdb
 
 import __spark_entry__
-from lexweave.operators import kb, names, neardup, sentences
+from lexweave.functions import english
+from lexweave.operators import kb, learn, names, neardup, sentences
 
 
 def _bag(text: str) -> Counter:
@@ -91,3 +94,51 @@ def test_rare_words_with_line_separators_like_their_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = __spark_entry__.queries()["rare_words"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(__spark_entry__.oracle_sql()["rare_words"]).fetchall())
+
+
+def test_tags_of_a_batch_are_those_of_each_sentence(spark):
+    rnd = random.Random(6)
+    pool = ["Ab", "ab", "x1", "Zed", "the", "12", *(f"w{i}" for i in range(20))]
+    rows = [(i, 0, [rnd.choice(pool) for _ in range(rnd.randrange(12))]) for i in range(90)] + [(90, 0, None)]
+    tagger = learn.train_tagger([(t, [rnd.choice(["O", "NAME", "NUM"]) for _ in t]) for _, _, t in rows[:40] if t], 2)
+    tagger.weights = {k: float(round(v)) for k, v in tagger.weights.items()}  # ties
+    out = learn.tagged(spark.createDataFrame(rows, "doc_id int, sent_no int, tokens array<string>"), tagger)
+    want = {i: None if t is None else tagger.best(t)[0][1] for i, _, t in rows}
+    assert {r["doc_id"]: r["tags"] for r in out.collect()} == want
+    runs = []
+    for i, tags in want.items():
+        for k, t in enumerate(tags or []):
+            if t != "O" and k and tags[k - 1] == t:
+                runs[-1] = (*runs[-1][:4], k)
+            elif t != "O":
+                runs.append((i, 0, t, k, k))
+    spans = learn.spans_of_tags(out)
+    assert sorted(map(tuple, spans.select("doc_id", "sent_no", "type", "start", "end").collect())) == sorted(runs)
+    assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prose_and_tokens_take_time_in_proportion():
+    t = time.monotonic()
+    english.prose_regions("word , " * 8000)  # no stretch, and each start looked at all the rest
+    assert english.english_tokens("word " * 80000 + "'' \"")[:2] == ["word", "word"]
+    assert time.monotonic() - t < 2
+
+
+def test_prose_regions_by_the_rule():
+    rnd = random.Random(7)
+    for _ in range(300):
+        text = "".join(rnd.choice(["word", "a", "%", "x1", "\n", "12,3", "(b)", "\t"]) + " " for _ in range(rnd.randrange(80)))
+        spans = [m.span() for m in re.finditer(r"\S+", text)]
+        bad = [english.is_junk(text[a:b]) or english._alone(text, a, b) for a, b in spans]
+        find = english._last_junk(bad)
+        for start in (i for i, x in enumerate(bad) if x):
+            end = start
+            for i in range(start, len(bad)):
+                window = bad[max(start, i - 19) : i + 1]
+                if sum(window) / len(window) < 0.5:
+                    end = start if i - start < 4 else end
+                    break
+                end = i
+            while end > start and not (bad[end] and bad[end - 1]):
+                end -= 1
+            assert find(start) == (end if end - start >= 4 else -1)
