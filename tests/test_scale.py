@@ -11,7 +11,7 @@ import duckdb
 
 import __spark_entry__
 from lexweave.functions import english
-from lexweave.operators import kb, learn, names, neardup, sentences
+from lexweave.operators import kb, learn, names, neardup, ngrams, sentences
 
 
 def _bag(text: str) -> Counter:
@@ -142,3 +142,15 @@ def test_prose_regions_by_the_rule():
             while end > start and not (bad[end] and bad[end - 1]):
                 end -= 1
             assert find(start) == (end if end - start >= 4 else -1)
+
+
+def test_words_are_cut_once(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for out in (ngrams.words(docs, lines=True), ngrams.bigrams(ngrams.words(docs, lines=True))):
+        assert out._jdf.queryExecution().executedPlan().toString().count("split(t#") <= 1
+        assert "filter(" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = [(1, "a  b,\n\n. \nC"), (2, None), (3, " "), (4, "")]
+    cut = ngrams.words(spark.createDataFrame(rows, "doc_id long, text string"), lines=True)
+    assert sorted((r["sent_no"], *r["words"]) for r in cut.collect()) == [(0, "a", "b"), (3, "c")]
+    pairs = [("---NULL---", "a"), ("---NULL---", "c"), ("a", "b"), ("b", "---NULL---"), ("c", "---NULL---")]
+    assert sorted(map(tuple, ngrams.bigrams(cut).collect())) == pairs
