@@ -85,9 +85,21 @@ def facts_of(mentions: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def attached_times(relations: DataFrame, times: DataFrame) -> DataFrame:
     """Relations ``doc_id, sent_no, rel_id, start`` with the time of their sentence that stands nearest; ties to the earlier one; null without one."""
-    met = relations.join(times.select("doc_id", "sent_no", F.col("start").alias("t_start"), "time_id"), ["doc_id", "sent_no"], "left")
-    best = F.min(F.struct(F.abs(F.col("t_start") - F.col("start")).alias("far"), "t_start", "time_id"))
-    return met.groupBy("doc_id", "sent_no", "rel_id").agg(F.min(F.when(F.col("time_id").isNotNull(), F.struct(F.abs(F.col("t_start") - F.col("start")).alias("far"), "t_start", "time_id"))).alias("b")).select("doc_id", "sent_no", "rel_id", F.col("b.time_id").alias("time_id"))
+    key = ["doc_id", "sent_no"]
+    first = times.where("doc_id is not null and sent_no is not null").groupBy(*key, "start").agg(F.min("time_id").alias("time_id"))
+    rows = relations.select(*key, "rel_id", "start", F.lit(True).alias("rel")).unionByName(first.withColumn("rel", F.lit(False)), allowMissingColumns=True)
+    # the last time up to a relation and the first from it on, in passes over the sentence: relations and times are not paired
+    here = F.when(~F.col("rel") & F.col("start").isNotNull(), F.struct(F.col("start").alias("t_start"), "time_id"))
+    span = (Window.unboundedPreceding, Window.currentRow)
+    before, after = (F.last(here, ignorenulls=True).over(Window.partitionBy(*key).orderBy(c).rangeBetween(*span)) for c in (F.asc("start"), F.desc("start")))
+    any_ = F.min(F.when(~F.col("rel"), F.struct(F.isnull("start").alias("no"), F.col("start").alias("t_start"), "time_id"))).over(Window.partitionBy(*key))
+    met = rows.withColumn("before", before).withColumn("after", after).withColumn("any", any_).where("rel")
+
+    def far(side: str) -> Column:
+        return F.when(F.col(side).isNotNull() & F.col("start").isNotNull(), F.struct(F.abs(F.col(f"{side}.t_start") - F.col("start")).alias("far"), F.col(f"{side}.t_start").alias("t_start"), F.col(f"{side}.time_id").alias("time_id")))
+
+    best = met.withColumn("b", F.coalesce(F.least(far("before"), far("after")), F.struct(F.lit(None).cast("int").alias("far"), "any.t_start", "any.time_id")))
+    return best.groupBy(*key, "rel_id").agg(F.min(F.struct(F.isnull("b.far").alias("no"), F.col("b"))).alias("b")).select(*key, "rel_id", F.col("b.b.time_id").alias("time_id"))
 
 
 def coded_events(events: DataFrame, arguments: DataFrame, codes: DataFrame, actors: DataFrame) -> DataFrame:
@@ -121,9 +133,10 @@ def individuals(names: DataFrame) -> DataFrame:
 
 def nested_names(names: DataFrame) -> DataFrame:
     """``doc_id, start, end, inner_start, inner_end``: names that lie inside others of their document."""
+    names = names.select("doc_id", "start", "end").distinct()  # so no pair comes twice
     inner = names.select(F.col("doc_id").alias("d"), F.col("start").alias("inner_start"), F.col("end").alias("inner_end"))
     inside = (F.col("doc_id") == F.col("d")) & (F.col("inner_start") >= F.col("start")) & (F.col("inner_end") <= F.col("end")) & ((F.col("inner_start") > F.col("start")) | (F.col("inner_end") < F.col("end")))
-    return names.join(inner, inside).select("doc_id", "start", "end", "inner_start", "inner_end").distinct()
+    return names.join(inner, inside).select("doc_id", "start", "end", "inner_start", "inner_end")
 
 
 def metonymy(mentions: DataFrame, places: list[str], acts: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ import duckdb
 
 import __spark_entry__
 from lexweave.functions import english
-from lexweave.operators import kb, learn, names, neardup, ngrams, sentences
+from lexweave.operators import analysis, kb, learn, names, neardup, ngrams, sentences
 
 
 def _bag(text: str) -> Counter:
@@ -154,3 +154,24 @@ def test_words_are_cut_once(spark, small):
     assert sorted((r["sent_no"], *r["words"]) for r in cut.collect()) == [(0, "a", "b"), (3, "c")]
     pairs = [("---NULL---", "a"), ("---NULL---", "c"), ("a", "b"), ("b", "---NULL---"), ("c", "---NULL---")]
     assert sorted(map(tuple, ngrams.bigrams(cut).collect())) == pairs
+
+
+def test_times_are_attached_without_pairs(spark):
+    rnd = random.Random(8)
+    some = lambda n: rnd.choice([None, *range(n)])
+    relations = [(some(3), some(2), k, some(9)) for k in range(60)]
+    times = [(some(3), some(2), rnd.choice([None, *range(0, 9, 2)]), k) for k in range(30)]
+    want = []
+    for d, s, k, at in relations:
+        met = [(t is None or at is None, abs(t - at) if None not in (t, at) else 0, t is None, t or 0, i) for e, v, t, i in times if None not in (d, s) and (e, v) == (d, s)]
+        want.append((d, s, k, min(met)[-1] if met else None))
+    out = analysis.attached_times(spark.createDataFrame(relations, "doc_id int, sent_no int, rel_id int, start int"), spark.createDataFrame(times, "doc_id int, sent_no int, start int, time_id int"))
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nested_names_are_made_once(spark):
+    rows = [(1, 0, 5), (1, 0, 5), (1, 1, 3), (1, 3, 5), (2, 0, 9), (2, 1, 1), (None, 0, 5), (None, 1, 2)]
+    out = analysis.nested_names(spark.createDataFrame(rows, "doc_id int, start int, end int"))
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 5, 1, 3), (1, 0, 5, 3, 5), (2, 0, 9, 1, 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().splitlines()[0].startswith("Project")
