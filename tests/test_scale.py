@@ -175,3 +175,19 @@ def test_nested_names_are_made_once(spark):
     out = analysis.nested_names(spark.createDataFrame(rows, "doc_id int, start int, end int"))
     assert sorted(map(tuple, out.collect())) == [(1, 0, 5, 1, 3), (1, 0, 5, 3, 5), (2, 0, 9, 1, 1)]
     assert out._jdf.queryExecution().optimizedPlan().toString().splitlines()[0].startswith("Project")
+
+
+def test_trigrams_are_counted_in_their_row(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, *range(40)]) if k % 3 else 100 + k, " ".join(rnd.choice("abc") for _ in range(rnd.randrange(30)))) for k in range(60)]
+    want = []
+    for i in {i for i, _ in rows}:
+        bag = sum((_bag(t) for j, t in rows if i == j and t), Counter())
+        if bag:
+            want.append((i, len(bag), bag.total(), max(bag.values())))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (100, 3):
+        monkeypatch.setattr(ngrams, "MOST_REPEATED", most, raising=False)
+        assert sorted(map(repr, map(tuple, ngrams.trigram_counts(docs).collect()))) == sorted(map(repr, want))
+    alone = ngrams.trigram_counts(docs.where("doc_id >= 100"))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
