@@ -18,8 +18,9 @@ FEW = 100_000
 def sentences(docs: DataFrame) -> DataFrame:
     """``doc_id, sent_no, sentence``: trimmed sentences that are not blank, numbered from 0 with the blank ones counted."""
     cut = F.split(F.regexp_replace("text", END, "$1\u0001"), "\u0001")
-    rows = docs.select("doc_id", F.posexplode(cut).alias("sent_no", "sentence"))
-    return rows.withColumn("sentence", F.trim(F.regexp_replace("sentence", r"[ \t\n\r\f]+", " "))).where("sentence <> ''")
+    # what is blank is seen before the blanks are replaced: Spark computes again whatever a filter asks for
+    rows = docs.select("doc_id", F.posexplode(cut).alias("sent_no", "sentence")).where(F.col("sentence").rlike(r"[^ \t\n\r\f]"))
+    return rows.withColumn("sentence", F.trim(F.regexp_replace("sentence", r"[ \t\n\r\f]+", " ")))
 
 
 def sections(docs: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from lexweave.session import table
 # What a token must hold to be an address or a URL, and how phone numbers look.
 EMAIL_PATTERNS = (r"(?i)@.*\.(com|gov|edu|org|mil|net)", r"(?i)@.*\.[A-Za-z][A-Za-z](\W|$)")
 URL_PATTERNS = (r"(?i)https?\:", r"(?i)www\.", r"(?i)\.(com|gov|edu|org|mil|net)(\W|$)")
+#: What any address or URL holds by these patterns.
+MAY_HOLD = r"@|[hH][tT][tT][pP][sS]?:|[wW][wW][wW]\.|\.(?i:com|gov|edu|org|mil|net)"
 SPORTS = r"scoreboard|scores|baseball|football|hockey|basketball|tennis|bowling|cricket|rugby|soccer|swimming|sports|wickets|team gp|standings|league|wild card|runner-up|seeded"
 NO_PHONE = (
     r".*-.* .*",

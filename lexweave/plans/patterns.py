@@ -39,11 +39,13 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.text import tokens
 from lexweave.operators.sentences import sentences
-from lexweave.operators.values import phones, value_type
+from lexweave.operators.values import MAY_HOLD, phones, value_type
 from lexweave.plans import derived
 from lexweave.session import table
 
 KEY = ("doc_id", "sent_no")
+#: Words of a set that are looked for one by one at most.
+FEW = 16
 ATOM = re.compile(r'\s*(?:;[^\n]*\n\s*)*(?:(\()|(\))|"((?:[^"\\]|\\.)*)"|([^\s()"]+))')
 
 
@@ -130,13 +132,19 @@ def _regex(s: PatternSet, parts: list, _: tuple) -> DataFrame:
 
 
 def _word(s: PatternSet, parts: list, _: tuple) -> DataFrame:
-    words = F.explode(tokens(F.col("sentence"))).alias("_found")
-    return _labelled(s.sentences.select(*KEY, words).where(F.col("_found").isin(s.wordsets[_option(parts, "in")[0]])), parts, "_found")
+    words, wanted = F.explode_outer(tokens(F.col("sentence"))).alias("_found"), s.wordsets[_option(parts, "in")[0]]
+    rows = s.sentences
+    if 0 < len(wanted) <= FEW:  # only sentences that hold one anywhere are cut
+        rows = rows.where(reduce(lambda a, b: a | b, [F.contains("sentence", F.lit(w)) for w in wanted]))
+    if not _option(parts, "return"):  # whether one is there, without a row for each
+        return rows.where(F.arrays_overlap(tokens(F.col("sentence")), F.array(*map(F.lit, wanted)).cast("array<string>"))).select(*KEY)
+    return _labelled(rows.select(*KEY, words).where(F.col("_found").isin(wanted)), parts, "_found")
 
 
 def _value(s: PatternSet, parts: list, _: tuple) -> DataFrame:
     types = _option(parts, "type")
-    found = s.sentences.select(*KEY, F.explode(tokens(F.col("sentence"))).alias("_found")).where(value_type(F.col("_found")).isin(types))
+    rows = s.sentences.where(F.col("sentence").rlike(MAY_HOLD))  # only these are cut
+    found = rows.select(*KEY, F.explode_outer(tokens(F.col("sentence"))).alias("_found")).where(F.col("_found").rlike(MAY_HOLD)).where(value_type(F.col("_found")).isin(types))
     if "phone" in types:
         found = found.unionByName(phones(s.sentences).select(*KEY, F.col("number").alias("_found")))
     return _labelled(found, parts, "_found")

@@ -11,7 +11,8 @@ import duckdb
 
 import __spark_entry__
 from lexweave.functions import english
-from lexweave.operators import analysis, kb, learn, names, neardup, ngrams, sentences
+from lexweave.operators import analysis, kb, learn, names, neardup, ngrams, sentences, values
+from lexweave.plans import patterns
 
 
 def _bag(text: str) -> Counter:
@@ -191,3 +192,18 @@ def test_trigrams_are_counted_in_their_row(spark, monkeypatch):
         assert sorted(map(repr, map(tuple, ngrams.trigram_counts(docs).collect()))) == sorted(map(repr, want))
     alone = ngrams.trigram_counts(docs.where("doc_id >= 100"))
     assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patterns_cut_only_sentences_that_may_match(spark):
+    cut = ["See the www.x.org now.", "a.b@c.de other", "nothing here", "The end.COM? (die)", "mail@x then die", "HTTPS://q w", "a . b @ c"]
+    rows = [(k // 2, k % 2, t) for k, t in enumerate(cut)]
+    s = patterns.PatternSet(spark.createDataFrame(rows, "doc_id int, sent_no int, sentence string")).add("(wordset art the The die)")
+    value = patterns.COMPILERS["value"](s, [["type", "email", "url"], ["return", "x"]], ())
+    url = [(re.compile(p, re.I | re.A)) for p in (*values.EMAIL_PATTERNS, *values.URL_PATTERNS)]
+    assert sorted(map(tuple, value.collect())) == sorted((d, n, w) for d, n, t in rows for w in t.split() if any(p.search(w) for p in url))
+    assert values.MAY_HOLD in value._jdf.queryExecution().optimizedPlan().toString()
+    word = patterns.COMPILERS["word"](s, [["in", "art"]], ())
+    assert sorted(map(tuple, word.collect())) == [(0, 0), (1, 1), (2, 0)]
+    assert "Generate" not in word._jdf.queryExecution().optimizedPlan().toString()
+    said = patterns.COMPILERS["word"](s, [["in", "art"], ["return", "w"]], ())
+    assert sorted(map(tuple, said.collect())) == [(0, 0, "the"), (1, 1, "The"), (2, 0, "die")]
