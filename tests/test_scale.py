@@ -8,6 +8,7 @@ import time
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from lexweave.functions import english
@@ -207,3 +208,34 @@ def test_patterns_cut_only_sentences_that_may_match(spark):
     assert "Generate" not in word._jdf.queryExecution().optimizedPlan().toString()
     said = patterns.COMPILERS["word"](s, [["in", "art"], ["return", "w"]], ())
     assert sorted(map(tuple, said.collect())) == [(0, 0, "the"), (1, 1, "The"), (2, 0, "die")]
+
+
+def test_word_classes_keep_no_table_of_all_bigrams(spark, monkeypatch):
+    rnd = random.Random(11)
+    lines = [[rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9))] for _ in range(200)]
+    n = Counter(p for w in lines for p in zip(w, w[1:], strict=False))
+    first = Counter()
+    for (a, _), k in n.items():
+        first[a] += k
+    top = [w for w, _ in sorted(first.items(), key=lambda x: (-x[1], x[0]))[:5]]
+    seen = []
+    monkeypatch.setattr(learn, "merge_classes", lambda c, k, f=learn.merge_classes: seen.append(c.copy()) or f(c, k))
+    monkeypatch.setattr(learn, "durable", None)
+    out = learn.word_classes(spark.createDataFrame([(k, 0, w) for k, w in enumerate(lines)], "doc_id int, sent_no int, words array<string>"), 5, 2)
+    assert sorted(r["word"] for r in out.collect()) == sorted(top)
+    assert seen[0].tolist() == [[n[a, b] for b in top] for a in top]
+
+
+def test_maxent_hashes_its_rows_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        calls.add(1)
+        return ["a", x]
+
+    rows = spark.range(40, numPartitions=2).selectExpr("id", "cast(id % 2 as double) label", "cast(id % 4 as string) x")
+    f = F.udf(told, "array<string>").asNondeterministic()
+    model = learn.maxent(rows.withColumn("features", f("x")), rounds=5)
+    assert calls.value == 40
+    plain = rows.withColumn("features", F.array(F.lit("a"), "x"))
+    assert all(r["class"] == r["label"] for r in learn.classified(model, plain).collect())
